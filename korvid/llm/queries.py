@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvid.llm import chat, line_dedup, packing, simhash, topk
+from korvid.llm import chat, langid, licenses, line_dedup, mixing, packing, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mixed(_table(spark, sf_dir, "documents"))
+    named = [F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang")]
+    return drawn.select("doc_id", *named, "topic", "tokens", F.round("probability", 6).alias("probability"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests are read back from the formatted conversations, mark by mark."""
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -43,6 +53,14 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(given.unionByName(extra)).mapInArrow(digests, schema)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions get nothing but the text; the other columns only say what may be learnt from."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.held_out())
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +77,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_chat_formatting, op8_best_fit_packing, op9_exact_top_k, op10_line_dedup)}
+    found = (
+        op1_simhash_near_dedup,
+        op3_license_scans,
+        op4_mixing_sources,
+        op5_chat_formatting,
+        op7_language_id,
+        op8_best_fit_packing,
+        op9_exact_top_k,
+        op10_line_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP9_SQL = """
@@ -98,4 +126,9 @@ FROM m GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_top_k": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {
+        "op3_license_scans": licenses.oracle(),
+        "op4_mixing_sources": mixing.oracle(),
+        "op9_exact_top_k": OP9_SQL,
+        "op10_line_dedup": OP10_SQL,
+    }
