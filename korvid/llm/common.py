@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+import uuid
 
 import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared folder and read again; the files go when the application ends."""
+    spark = df.sparkSession
+    set_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/korvid-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def worker_state(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, so that tasks can share caches."""
     holder = sys.modules.setdefault("_korvid_worker", types.ModuleType("_korvid_worker"))
