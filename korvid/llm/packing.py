@@ -8,6 +8,8 @@ and place). The pieces get their rank among those of their length and look up th
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -29,26 +31,46 @@ class Words:
     """A tokenizer that keeps the ids of the strings between blanks, which are encoded by themselves."""
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.ids: dict[str, bytes] = {"": b""}
-        # Between an ASCII letter and closing marks at a chunk's end the pattern always cuts.
-        self.tail = re.compile(r"(?<=[A-Za-z])([.,!?;:]+)(?=[ \n]|$)")
+        # Between a letter and the closing marks at a chunk's end the pattern always cuts.
+        self.tail = re.compile(r"([.,!?;:])(?<=[a-z].)([.,!?;:]*)(?=[ \n]|$)")
+        self.plain = re.compile(r"[a-z]+").fullmatch
+
+    def chunks(self, text: str) -> list[str]:
+        """Parts that the tokenizer encodes alike alone and in the text."""
+        try:  # of these characters each has one small letter, the one that the tokenizer takes
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return self.tail.sub(r" \1\2", text).replace("\n", " ").split(" ")
+
+    def fresh(self, chunks: set[str]) -> dict[str, bytes]:
+        plain = [c for c in chunks if self.plain(c)]
+        other = list(chunks.difference(plain))
+        # Byte-level marks leave small letters as they are: the model can take such words at once.
+        tokenize, pack = self.model.tokenize, struct.pack
+        made = {}
+        for c in plain:
+            ids = [t.id for t in tokenize(c)]
+            made[c] = pack(f"<{len(ids)}I", *ids)
+        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            made[c] = pack(f"<{len(e.ids)}I", *e.ids)
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, little-endian unsigned 32 bits."""
-        chunked = [self.tail.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        chunked = [self.chunks(t) for t in texts]
         known = self.ids
-        fresh = list({c for chunks in chunked for c in chunks if c not in known})
-        if fresh:
-            made = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
-            if len(known) + len(made) > CACHED:
-                return [b"".join([known[c] if c in known else made[c] for c in chunks]) for chunks in chunked]
-            known.update(made)
-        return [b"".join([known[c] for c in chunks]) for chunks in chunked]
+        made = self.fresh(set().union(*chunked).difference(known))
+        if len(known) + len(made) > CACHED:
+            return [b"".join([known[c] if c in known else made[c] for c in chunks]) for chunks in chunked]
+        known.update(made)
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
 
 
 def words(path: str) -> Words:
