@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvid.llm import chat, langid, licenses, line_dedup, mixing, packing, simhash, substring_dedup, topk
+from korvid.llm import chat, langid, licenses, line_dedup, media, mixing, packing, simhash, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(given.unionByName(extra)).mapInArrow(digests, schema)
 
 
+def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: a picture is drawn for every row of embeddings, and edited variants for some."""
+    return media.copies(media.drawn_from(_table(spark, sf_dir, "embeddings")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions get nothing but the text; the other columns only say what may be learnt from."""
     docs = _table(spark, sf_dir, "documents")
@@ -88,6 +93,7 @@ def queries() -> dict:
         op3_license_scans,
         op4_mixing_sources,
         op5_chat_formatting,
+        op6_media_copies,
         op7_language_id,
         op8_best_fit_packing,
         op9_exact_top_k,
