@@ -198,25 +198,25 @@ def temperature(scored: list[tuple[np.ndarray, int]]) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs plus lang_pred and score (0 to 1), from the whole text alone.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs plus the columns `into`: lang_pred and score (0 to 1), from the whole text alone.
 
     A null or empty text or one without letters gets `und` and 0, as does everything if no
     language could be learnt; equal probabilities go to the first language by name. Repeated
     rows get equal results, an empty table stays empty, other columns pass through, and own
-    columns named lang_pred or score are replaced.
+    columns named as in `into` are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rest = [c for c in docs.columns if c not in into]
     at = rest.index(text_col)
 
     def run(batches):
         for batch in batches:
             found = [model.predict(t) for t in batch.column(at).to_pylist()]
             made = [pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
-            yield pa.record_batch([*batch.columns, *made], names=[*rest, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, *made], names=[*rest, *into])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), f"`{into[0]}` string", f"`{into[1]}` double"])
     return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
 
 

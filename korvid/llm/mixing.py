@@ -59,8 +59,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     return cells.select(*DIMENSIONS, "tokens", "weight")
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs drawn for the mix, plus topic, tokens and probability.
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", into: tuple[str, str, str] = ("topic", "tokens", "probability")) -> DataFrame:
+    """The rows of docs drawn for the mix, plus the columns `into`: topic, tokens and probability.
 
     A row is drawn if its hashed id, as a number from 0 to 1, is below its cell's probability:
     the raked weight per token, over the largest of all cells. So the expected token shares of
@@ -69,21 +69,22 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     Null sources and languages are categories named '' (with those that are ''), a null text is
     empty, and every text has one token at least. Rows with a null id hash the empty string;
     repeated rows are drawn together. An empty table gives none; other columns pass through,
-    and own columns named topic, tokens or probability are replaced.
+    and own columns named as in `into` are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("topic", "tokens", "probability")]
+    topic, tokens, probability = into
+    rest = [c for c in docs.columns if c not in into]
     keys = {d: F.coalesce(F.col(d), F.lit("")) for d in DIMENSIONS[:2]} | {"topic": topic_of(F.col(text_col))}
     slim = docs.select(*[k.alias(d) for d, k in keys.items()], tokens_of(F.col(text_col)).alias("tokens"))
     cells = checkpoint(slim.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     raked = checkpoint(rake(cells, targets, temper, rounds).withColumn("rate", F.col("weight") / F.col("tokens")))
     stats = raked.agg(F.max("rate").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    odds = raked.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.round(F.col("rate") / F.lit(stats["top"] or 1.0), 12).alias("probability"))
+    odds = raked.select(*[F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS], F.round(F.col("rate") / F.lit(stats["top"] or 1.0), 12).alias("_cell_odds"))
     if stats["n"] <= BROADCAST_CELLS:
         odds = F.broadcast(odds)
-    base = docs.select(*[F.col(f"`{c}`") for c in rest], keys["topic"].alias("topic"), tokens_of(F.col(text_col)).alias("tokens"))
-    same = [F.coalesce(base[f"`{d}`"], F.lit("")) == odds[f"_{d}"] for d in DIMENSIONS[:2]] + [base["topic"] == odds["_topic"]]
-    drawn = base.join(odds, same).where(unit_of(F.col(id_col)) < F.col("probability"))
-    return drawn.select(*[F.col(f"`{c}`") for c in rest], "topic", "tokens", "probability")
+    base = docs.select(*[F.col(f"`{c}`") for c in rest], keys["topic"].alias(topic), tokens_of(F.col(text_col)).alias(tokens))
+    same = [F.coalesce(base[f"`{d}`"], F.lit("")) == odds[f"_cell_{d}"] for d in DIMENSIONS[:2]] + [base[topic] == odds["_cell_topic"]]
+    drawn = base.join(odds, same).where(unit_of(base[id_col]) < odds["_cell_odds"])
+    return drawn.select(*[base[f"`{c}`"] for c in (*rest, topic, tokens)], odds["_cell_odds"].alias(probability))
 
 
 def unit_of(key: Column) -> Column:

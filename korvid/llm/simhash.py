@@ -73,15 +73,16 @@ def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): every row's fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): every row's fingerprint as a signed long, and a hash of its text."""
 
     def run(batches):
         for batch in batches:
-            fps = fingerprints(batch.column(1).to_pylist(), width)
-            yield pa.record_batch([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = fingerprints(batch.column(2).to_pylist(), width)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = as_bytes(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -254,7 +255,7 @@ def part(k: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs.
+    """(doc_id, fingerprint, component_id, text_hash) for every row of docs.
 
     Equal fingerprints are one node, so groups of copies cost one row. A null text counts as
     empty, and texts without words have fingerprint zero, linked like any other. A null doc_id
@@ -269,15 +270,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     least = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
     names = grouped.join(least, "label").select("fp", "component_id")
     return prints.join(names, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash"
     )
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows whose near-duplicate component has a smaller doc_id.
 
-    Rows with a null doc_id stay; of repeated rows with the component's own doc_id one stays.
+    Rows with a null id stay, and rows that repeat both id and text stay or go together.
     """
-    found = near_duplicates(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
-    return kept
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <> component_id")
+    gone = found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    same = (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(as_bytes(text_col)) == gone["_hash"])
+    # The ids are built into hash tables: the texts are shuffled once and never sorted.
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
