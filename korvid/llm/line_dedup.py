@@ -20,15 +20,15 @@ def line_hash(line: bytes, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text's common lines dropped, plus n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", into: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the text's common lines dropped, plus the columns `into`: n_lines and n_dropped.
 
     A line goes if its key (stripped of ASCII white space, A-Z lower-cased) has at least
     min_chars code points and stands in at least min_docs rows, unless this row's id is the
     largest among them. A null text counts as one empty line and comes back empty. Each row is
     a document: repeated rows count as several, and those that tie for the largest id all keep
     the line. Rows with a null id count but lose nothing. An empty table stays empty; other
-    columns pass through, and own columns named n_lines or n_dropped are replaced.
+    columns pass through, and own columns named as in `into` are replaced.
     """
 
     def hashes(batches):
@@ -58,13 +58,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     # One row for each document and distinct hash: the count needs no distinct and combines before the shuffle.
     lines = docs.select(F.col(id_col).cast("long").alias("_id"), as_bytes(text_col).alias("_text")).mapInArrow(hashes, "_id long, _hash binary")
     common = lines.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last")).where(F.col("_n") >= min_docs)
-    drops = lines.join(common, "_hash").where("_id < _last").groupBy("_id").agg(F.collect_set("_hash").alias("_drops"))
-    rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    names = [text_col, "n_lines", "n_dropped", *rest]
-    base = docs.select(as_bytes(text_col).alias("_text"), *[F.col(f"`{c}`") for c in rest])
+    drops = lines.join(common, "_hash").where("_id < _last").groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_set("_hash").alias("_drop_hashes"))
+    rest = [c for c in docs.columns if c not in (text_col, *into)]
+    names = [text_col, *into, *rest]
+    base = docs.select(as_bytes(text_col).alias("_whole_text"), *[F.col(f"`{c}`") for c in rest])
     # The small side is built into hash tables: the texts are shuffled once and never sorted.
-    joined = base.join(drops.hint("shuffle_hash"), base[id_col].cast("long") == drops["_id"], "left").select("_text", "_drops", *[base[f"`{c}`"] for c in rest])
+    joined = base.join(drops.hint("shuffle_hash"), base[id_col].cast("long") == drops["_drop_id"], "left").select("_whole_text", "_drop_hashes", *[base[f"`{c}`"] for c in rest])
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(["`%s` binary" % text_col, "n_lines long", "n_dropped long", *(f"`{c}` {types[c]}" for c in rest)])
+    schema = ", ".join(["`%s` binary" % text_col, *(f"`{c}` long" for c in into), *(f"`{c}` {types[c]}" for c in rest)])
     made = joined.mapInArrow(rebuild, schema).withColumn(text_col, F.col(text_col).cast("string"))
-    return made.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    return made.select(*[c for c in docs.columns if c not in into], *into)
