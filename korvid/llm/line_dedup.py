@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import as_bytes
+from korvid.llm.common import as_bytes, checkpoint
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -57,7 +57,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
 
     # One row for each document and distinct hash: the count needs no distinct and combines before the shuffle.
     lines = docs.select(F.col(id_col).cast("long").alias("_id"), as_bytes(text_col).alias("_text")).mapInArrow(hashes, "_id long, _hash binary")
-    common = lines.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last")).where(F.col("_n") >= min_docs)
+    # Cut off from its aggregation, so that a join on a line of very many documents can be split.
+    common = checkpoint(lines.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last")).where(F.col("_n") >= min_docs))
     drops = lines.join(common, "_hash").where("_id < _last").groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_set("_hash").alias("_drop_hashes"))
     rest = [c for c in docs.columns if c not in (text_col, *into)]
     names = [text_col, *into, *rest]
