@@ -131,7 +131,6 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root, Files(spark, root)
-        self.files.make()
         self.tables: dict[str, Table] = {}
         self.external: dict[str, tuple[DataFrame, Table]] = {}
         self.revision = 0
@@ -157,6 +156,7 @@ class Catalog:
         if base is not None and there != base:
             raise ConflictError("the catalog was changed by another session; roll back and try again")
         self.revision = there + 1
+        self.files.make()
         self.files.replace(self.MANIFEST, json.dumps({"revision": self.revision, "tables": [asdict(t) for t in self.tables.values()]}))
 
     def snapshot(self) -> Any:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import math
-import tempfile
 import time
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -71,7 +71,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.catalog = Catalog(spark, path or tempfile.mkdtemp(prefix="korvid-tables-"))
+        # Without a path the tables live in the warehouse, which every executor sees.
+        self.catalog = Catalog(spark, path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/korvid-{uuid.uuid4().hex}")
         self.lowering = Lowering(self.catalog, self.text_index, self.vector_search)
         self._derived: dict[tuple, Any] = {}
         self._open: tuple[Any, int] | None = None

@@ -167,7 +167,7 @@ class Scope:
 def remainder(x: Column, y: Column) -> Column:
     """The remainder with the divisor's sign."""
     r = x % y
-    return F.when((r != 0) & ((r < 0) != (y < 0)), r + y).otherwise(r)
+    return F.when((r != 0) & ((r < 0) != (y < 0)), r + y).otherwise(r + 0)  # no negative zero
 
 
 class Expressions:
