@@ -257,7 +257,8 @@ def _repeats(found: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     n = F.count(F.lit(1))
     # Tables that meet a hot key in a join are cut off from their aggregation first, so that the join can be split.
     heads = checkpoint(found.groupBy("head").agg(n.alias("n")).where("n > 1").select("head"))
-    classes = checkpoint(found.join(heads, "head").groupBy("head", "body").agg(n.alias("n"), one))
+    found = stored(found.join(heads, "head"))  # else the classes would be counted by the join's partitions
+    classes = checkpoint(found.groupBy("head", "body").agg(n.alias("n"), one))
     copies = classes.where("n > 1").select("head", "body")
     marks = [found.join(copies, ["head", "body"]).select(*_SPOT)]
 
