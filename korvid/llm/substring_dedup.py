@@ -207,18 +207,41 @@ def _longer_leads(rows: DataFrame, width: int, length: int, deepest: int) -> Dat
     return rows.select(*_SPOT, "seg").mapInArrow(run, schema)
 
 
+def _own_repeats(found: list[np.ndarray], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A text's anchors, each class once with its number n, and marks for the classes that stand in it repeatedly.
+
+    Periodic texts have one class at very many places: it is settled here and counts as one row.
+    A mark stands for the bytes pos - hi to pos - lo + length.
+    """
+    pos, lo, hi, head, body = found
+    order = np.lexsort((body, head))
+    h, b = head[order], body[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (b[1:] != b[:-1])][: len(h)])
+    n = np.diff(np.r_[first, len(h)])
+    rows = [*(x[order[first]] for x in found), n]
+    many = np.sort(order[np.repeat(n > 1, n)])
+    start, end = pos[many] - hi[many], np.maximum.accumulate(pos[many] - lo[many] + length) if len(many) else many
+    cut = np.flatnonzero(np.r_[True, start[1:] > end[:-1]][: len(many)])
+    a, z = start[cut], end[np.r_[cut[1:], len(many)] - 1] if len(many) else end
+    return rows, [a, length - (z - a), np.zeros_like(a)]
+
+
 def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
+    """Anchors with head, body and n; rows with n = 0 are marks."""
+
     def run(batches):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             did, tid, texts = (batch.column(i).to_pylist() for i in range(3))
-            found = [anchors(t, length, gram_of(length)) for t in texts]
-            many = [len(x[0]) for x in found]
+            made = [_own_repeats(anchors(t, length, gram_of(length)), length) for t in texts]
+            many = [len(rows[0]) + len(marks[0]) for rows, marks in made]
             cols = [pa.array([x for i, n in zip(own, many) for x in [i] * n], pa.int64()) for own in (did, tid)]
-            cols += [pa.array(np.concatenate([x[k] for x in found]) if found else [], kinds[k + 2]) for k in range(5)]
-            yield pa.record_batch(cols, names=[*_SPOT, "head", "body"])
+            for k, kind in enumerate(kinds):
+                parts = [x for rows, marks in made for x in (rows[k], marks[k] if k < 3 else np.zeros(len(marks[0]), np.int64))]
+                cols.append(pa.array(np.concatenate(parts) if parts else [], kind))
+            yield pa.record_batch(cols, names=[*_SPOT, "head", "body", "n"])
 
-    return docs.select("did", "tid", "text").mapInArrow(run, f"{MARK}, head long, body long")
+    return docs.select("did", "tid", "text").mapInArrow(run, f"{MARK}, head long, body long, n long")
 
 
 def gram_of(length: int) -> int:
@@ -248,19 +271,21 @@ def _by_row(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return texts.join(other.hint("shuffle_hash"), same, how).drop("_did", "_tid")
 
 
-def _repeats(found: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def _repeats(table: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """marks(did, tid, pos, lo, hi): the runs of windows that stand elsewhere too.
 
-    found: all anchors; texts(did, tid, packed): the rows' compressed texts.
+    table: all anchors and the texts' own marks; texts(did, tid, packed): the compressed texts.
     """
     one = F.min(F.struct(*_SPOT)).alias("one")
     n = F.count(F.lit(1))
+    marks = [table.where("n = 0").select(*_SPOT)]
+    found = table.where("n > 0")
     # Tables that meet a hot key in a join are cut off from their aggregation first, so that the join can be split.
-    heads = checkpoint(found.groupBy("head").agg(n.alias("n")).where("n > 1").select("head"))
+    heads = checkpoint(found.groupBy("head").agg(F.sum("n").alias("n")).where("n > 1").select("head"))
     found = stored(found.join(heads, "head"))  # else the classes would be counted by the join's partitions
-    classes = checkpoint(found.groupBy("head", "body").agg(n.alias("n"), one))
+    classes = checkpoint(found.groupBy("head", "body").agg(F.sum("n").alias("n"), one))
     copies = classes.where("n > 1").select("head", "body")
-    marks = [found.join(copies, ["head", "body"]).select(*_SPOT)]
+    marks.append(found.where("n = 1").join(copies, ["head", "body"]).select(*_SPOT))
 
     # What is left to compare: a member of each class whose head other classes have too.
     sizes = checkpoint(classes.groupBy("head").agg(n.alias("d")).where("d > 1"))
