@@ -395,7 +395,7 @@ class Engine:
         """Drops what was derived from older versions."""
         for key in [k for k in self._derived if k[0] == table.name and k[1] != table.version]:
             old = self._derived.pop(key)
-            for df in (getattr(old, n, None) for n in ("postings", "docs", "rows")):
+            for df in (getattr(old, n, None) for n in ("base", "rows")):
                 if df is not None:
                     df.unpersist()
 

@@ -34,6 +34,14 @@ def tokenize(text: str) -> list[str]:
     return out
 
 
+_WORD = re.compile(_A + "+")
+
+
+def simple_words(text: str) -> list[str]:
+    """Lower-cased runs of letters and digits, as `tokens` finds them in the JVM."""
+    return _WORD.findall(text.lower())
+
+
 def plain(token: str) -> str:
     """Without accents; ñ stays."""
     return token.translate(_ACCENTS)

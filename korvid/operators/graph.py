@@ -80,20 +80,22 @@ class Graph:
         return self._search(q, at, max(k, width), self.layers[0])[:k]
 
 
-def approximate_top_k(df: DataFrame, column: str, queries: dict[int, list[float]], k: int, metric: str = "euclidean", tie: str = "id", shard: int = 5000, width: int = 50) -> DataFrame:
-    """(query_id, id, similarity, rank): a graph over every shard of about `shard` rows, all searched."""
-    names = list(queries)
-    q = np.array([queries[n] for n in names], float)
+def approximate_top_k(df: DataFrame, column: str, queries: DataFrame, k: int, metric: str = "euclidean", tie: str = "id", shard: int = 5000, width: int = 50) -> DataFrame:
+    """(query_id, id, similarity, rank) for queries(query_id, q): a graph over every shard of about
+    `shard` rows, all searched; each query goes to every shard."""
     shards = max(1, round(df.count() / shard))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        graph = Graph(np.stack(pdf["v"].to_numpy()).astype(float), metric)
-        ids = pdf["id"].to_numpy()
-        out = [(n, ids[x], s) for n, row in zip(names, q) for s, x in graph.search(row, k, max(width, k))]
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), "q", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    rows = df.where(F.col(column).isNotNull()).select(F.col(tie).cast("long").alias("id"), F.col(column).alias("v"), F.pmod(F.xxhash64(tie), F.lit(shards)).cast("int").alias("shard"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("id")
+            graph, ids = Graph(np.stack(b["v"].to_numpy()).astype(float), metric), b["id"].to_numpy()
+            for n, q in zip(a["query_id"], a["q"]):
+                out += [(n, ids[x], s) for s, x in graph.search(np.asarray(q, float), k, max(width, k))]
         return pd.DataFrame(out, columns=["query_id", "id", "similarity"])
 
-    rows = df.where(F.col(column).isNotNull()).select(F.col(tie).cast("long").alias("id"), F.col(column).alias("v"), F.pmod(F.xxhash64(tie), F.lit(shards)).alias("shard"))
-    found = rows.groupBy("shard").applyInPandas(run, "query_id long, id long, similarity double")
+    found = left.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(run, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

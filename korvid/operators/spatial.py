@@ -132,6 +132,11 @@ def box_of(points: Column) -> Column:
     return F.struct(F.array_min(lat).alias("lat0"), F.array_min(lon).alias("lon0"), F.array_max(lat).alias("lat1"), F.array_max(lon).alias("lon1"))
 
 
+def box_agg(p: Column) -> Column:
+    """The bounding box of a group's points, as an aggregate that combines before the shuffle."""
+    return F.struct(F.min(p["lat"]).alias("lat0"), F.min(p["lon"]).alias("lon0"), F.max(p["lat"]).alias("lat1"), F.max(p["lon"]).alias("lon1"))
+
+
 def box_area(b: Column) -> Column:
     return (b["lat1"] - b["lat0"]) * (b["lon1"] - b["lon0"])
 

@@ -7,9 +7,10 @@ for every document, empty ones too. A query touches the postings of its own term
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +21,19 @@ K1, B = 1.2, 0.75
 
 @dataclass(frozen=True)
 class TextIndex:
-    postings: DataFrame
-    docs: DataFrame
+    """base(doc_id, length, norm, terms) is what both tables are read from, one row per document."""
+
+    base: DataFrame
     language: str | None = None
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.base.select("doc_id", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf")
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.base.select("doc_id", "length", "norm")
+
     def query_terms(self, query: str) -> list[str]:
         """The query's terms in order, repeats included."""
         if self.language is None:
@@ -33,7 +43,7 @@ class TextIndex:
         return [t for t in found if len(t.encode()) <= analysis.LONGEST]
 
     def cached(self) -> "TextIndex":
-        return TextIndex(self.postings.cache(), self.docs.cache(), self.language)
+        return TextIndex(self.base.cache(), self.language)
 
     def write(self, path: str) -> None:
         """Postings sorted by term, so that a term's row groups can be found by their bounds."""
@@ -41,30 +51,41 @@ class TextIndex:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
 
+TERMS = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str, language: str | None = None, simple: bool = False) -> TextIndex:
-    """simple: the JVM's word tokens; else the full token rules (and the language's stems)."""
-    text = F.col(text_col)
-    if language is not None or not simple:
-        terms = analysed_or_tokens(text, language, docs)
-    else:
-        terms = analysis.tokens(text)
-    base = docs.select(F.col(id_col).alias("doc_id"), terms.alias("terms"))
-    exploded = base.select("doc_id", F.explode("terms").alias("term")).where(F.octet_length("term") <= analysis.LONGEST)
-    postings = exploded.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    weights = postings.groupBy("doc_id").agg(F.sum("tf").alias("length"), F.sqrt(F.sum(F.pow(1 + F.log10("tf"), F.lit(2.0)))).alias("norm"))
-    every = base.select("doc_id").join(weights, "doc_id", "left")
-    docs_table = every.select("doc_id", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("norm", F.lit(0.0)).alias("norm"))
-    return TextIndex(postings, docs_table, language)
-
-
-def analysed_or_tokens(text: Column, language: str | None, docs: DataFrame) -> Column:
-    if language is not None:
-        return analysis.analysed(text, language, docs.sparkSession)
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: analysis.tokenize(t) if t is not None else [])
-
-    return run(text)
+    """simple: lower-cased runs of letters and digits; else the full token rules (and the language's stems).
+
+    A document's terms are counted where its text is read, so nothing is shuffled.
+    """
+    stops = analysis.stop_words(language)
+    longest = analysis.LONGEST
+
+    def run(batches):
+        known: dict[str, str] = {}
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            terms, counts, ends, lengths, norms = [], [], [0], [], []
+            for text in texts:
+                if text is None:
+                    found = Counter()
+                elif simple and language is None:
+                    found = Counter(analysis.simple_words(text))
+                else:
+                    found = Counter(analysis.analyse(text, language, stops, known))
+                kept = [(t, n) for t, n in found.items() if len(t) <= longest // 4 or len(t.encode()) <= longest]
+                terms += [t for t, _ in kept]
+                counts += [n for _, n in kept]
+                ends.append(len(terms))
+                lengths.append(sum(n for _, n in kept))
+                norms.append(math.sqrt(sum((1 + math.log10(n)) ** 2 for _, n in kept)))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], fields=list(TERMS.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.record_batch([batch.column(0), pa.array(lengths, pa.int64()), pa.array(norms, pa.float64()), lists], names=["doc_id", "length", "norm", "terms"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    return TextIndex(rows.mapInArrow(run, "doc_id long, length long, norm double, terms array<struct<term: string, tf: long>>"), language)
 
 
 def corpus_stats(index: TextIndex) -> tuple[int, float]:
@@ -138,12 +159,12 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 def append(index: TextIndex, docs: DataFrame, id_col: str, text_col: str, simple: bool = False) -> TextIndex:
     """The index with further documents (new ids); nothing old is read again."""
     more = build_index(docs, id_col, text_col, index.language, simple)
-    return TextIndex(index.postings.unionByName(more.postings), index.docs.unionByName(more.docs), index.language)
+    return TextIndex(index.base.unionByName(more.base), index.language)
 
 
 def remove(index: TextIndex, ids: DataFrame) -> TextIndex:
     """The index without the documents of ids(doc_id)."""
-    return TextIndex(index.postings.join(ids, "doc_id", "left_anti"), index.docs.join(ids, "doc_id", "left_anti"), index.language)
+    return TextIndex(index.base.join(ids, "doc_id", "left_anti"), index.language)
 
 
 def snippet(text: Column, query: str, length: int = 160) -> Column:

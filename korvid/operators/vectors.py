@@ -97,6 +97,46 @@ def top_k_batch(df: DataFrame, column: str, queries: dict[int, list[float]], k:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Most rows and queries that one task of a search by a table of queries holds.
+CELL, QUERIES = 65536, 8192
+
+
+def top_k_join(df: DataFrame, queries: DataFrame, column: str, k: int, metric: str = "euclidean", tie: str = "id") -> DataFrame:
+    """(query_id, id, similarity, rank) for queries(query_id, q), a table of any size.
+
+    A grid: rows in cells, queries in blocks, one task for each pair of them with matrix products;
+    a task gives k rows per query at most. Queries without a direction have no cosine neighbours.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(F.col(tie).cast("long").alias("id"), F.col(column).alias("v"), F.size(column).alias("dim"))
+    asked = queries.where(F.col("q").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "q", F.size("q").alias("dim"))
+    n, m = rows.count(), asked.count()
+    cells, blocks = max(1, math.ceil(n / CELL), min(32, math.ceil(n / 2048))), max(1, math.ceil(m / QUERIES))
+    left = asked.select("dim", "query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    right = rows.select("dim", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(cells)).alias("cell"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0)})]
+        if len(a) and len(b):
+            ids, v = b["id"].to_numpy(), np.stack(b["v"].to_numpy()).astype(float)
+            names, q = a["query_id"].to_numpy(), np.stack(a["q"].to_numpy()).astype(float)
+            for at in range(0, len(q), 256):
+                part = q[at : at + 256]
+                if metric == "cosine":
+                    part = np.where(np.any(part, axis=1, keepdims=True), part, np.nan)
+                for name, row in zip(names[at : at + 256], _scores(part, v, metric)):
+                    ok = np.flatnonzero(~np.isnan(row))
+                    if len(ok) > k:  # ties with the k-th stay until the ids decide
+                        ok = ok[row[ok] >= np.partition(row[ok], len(ok) - k)[len(ok) - k]]
+                    best = ok[np.lexsort((ids[ok], -row[ok]))[:k]]
+                    out.append(pd.DataFrame({"query_id": name, "id": ids[best], "similarity": row[best]}))
+        return pd.concat(out)
+
+    keys = ["dim", "cell", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, id long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     if metric == "dot_product":
         return q @ v.T

@@ -36,44 +36,48 @@ def copurchase_one_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.also_bought(purchases(spark, sf_dir), 7)
 
 
+SIGNALS = """a AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS v FROM part WHERE p_partkey <> 5 AND p_size > 0 ORDER BY p_size DESC, p_partkey LIMIT 101),
+    b AS (SELECT p_partkey AS id, p_retailprice AS v FROM part WHERE p_partkey <> 5 ORDER BY p_retailprice DESC, p_partkey LIMIT 101),
+    both_lists AS (SELECT id FROM a UNION SELECT id FROM b)"""
+
+
+def signals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Two lists of candidates, and a bonus over what is in them."""
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id").where("id <> 5")
+    best = lambda c: part.select("id", F.col(c).cast("double").alias("value")).where("value > 0").orderBy(F.desc("value"), "id").limit(recommend.CANDIDATES)
+    lists = {"size": best("p_size"), "price": best("p_retailprice")}
+    ids = lists["size"].select("id").union(lists["price"].select("id")).distinct()
+    candidates = part.withColumn("category", F.col("p_type")).join(ids, "id", "left_semi")
+    return {**lists, "category": recommend.same_category(candidates, "SMALL")}
+
+
 @register(
     "rrf_fusion",
-    """WITH a AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS v FROM part WHERE p_partkey < 300 AND p_partkey <> 5 AND p_size > 0),
-    b AS (SELECT p_partkey AS id, p_retailprice - 1000 AS v FROM part WHERE p_partkey % 3 = 0 AND p_partkey <> 5 AND p_retailprice > 1000),
-    parts AS (SELECT id, 61.0 / (60 + row_number() OVER (ORDER BY v DESC, id)) * (1 / 2.0) AS x FROM a
+    f"""WITH {SIGNALS}, parts AS (SELECT id, 61.0 / (60 + row_number() OVER (ORDER BY v DESC, id)) * (1 / 2.0) AS x FROM a
       UNION ALL SELECT id, 61.0 / (60 + row_number() OVER (ORDER BY v DESC, id)) * (0.75 / 2.0) FROM b
-      UNION ALL SELECT p_partkey, 0.25 / 2.0 FROM part WHERE p_type = 'SMALL' AND p_partkey <> 5)
-    SELECT id, round(sum(x), 9) AS score FROM parts GROUP BY 1 ORDER BY round(sum(x), 9) DESC, id LIMIT 10""",
+      UNION ALL SELECT p_partkey, 0.25 / 2.0 FROM part JOIN both_lists ON p_partkey = id WHERE p_type = 'SMALL')
+    SELECT id, round(sum(x), 9) AS score FROM parts GROUP BY 1""",
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
-    signals = {
-        "size": part.where("id < 300").select("id", F.col("p_size").alias("value")),
-        "price": part.where("id % 3 = 0").select("id", (F.col("p_retailprice") - 1000).alias("value")),
-        "category": part.where("p_type = 'SMALL'").select("id", F.lit(1.0).alias("value")),
-    }
-    found = recommend.fuse(5, signals, {"size": 1, "price": 0.75, "category": 0.25}, limit=1_000_000)
-    return found.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    found = recommend.fuse(5, signals(spark, sf_dir), {"size": 1, "price": 0.75, "category": 0.25}, limit=1000)
+    return found.select("id", F.round("score", 9).alias("score"))
 
 
 @register(
     "max_fusion",
-    """WITH a AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS v FROM part WHERE p_partkey < 300 AND p_partkey <> 5 AND p_size > 0),
-    b AS (SELECT p_partkey AS id, p_retailprice AS v FROM part WHERE p_partkey % 3 = 0 AND p_partkey <> 5)
-    SELECT id, round(sum(x), 9) AS score FROM (SELECT id, v / (SELECT max(v) FROM a) / 2 AS x FROM a UNION ALL SELECT id, v / (SELECT max(v) FROM b) / 2 FROM b)
-    GROUP BY 1 ORDER BY round(sum(x), 9) DESC, id LIMIT 10""",
+    f"""WITH {SIGNALS} SELECT id, round(sum(x), 9) AS score FROM (SELECT id, v / (SELECT max(v) FROM a) / 2 AS x FROM a UNION ALL SELECT id, v / (SELECT max(v) FROM b) / 2 FROM b)
+    GROUP BY 1""",
 )
 def max_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
-    signals = {"size": part.where("id < 300").select("id", F.col("p_size").alias("value")), "price": part.where("id % 3 = 0").select("id", F.col("p_retailprice").alias("value"))}
-    found = recommend.fuse(5, signals, {"size": 1, "price": 1}, "max", limit=1_000_000)
-    return found.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    lists = {k: v for k, v in signals(spark, sf_dir).items() if k != "category"}
+    found = recommend.fuse(5, lists, {"size": 1, "price": 1}, "max", limit=1000)
+    return found.select("id", F.round("score", 9).alias("score"))
 
 
-@register("signal_bonus_category", "SELECT p_partkey AS id, CAST(1 AS DOUBLE) AS value FROM part WHERE p_partkey % 5 = 0 AND p_type = (SELECT p_type FROM part WHERE p_partkey = 1)")
+@register("signal_bonus_category", "SELECT p_partkey AS id, CAST(1 AS DOUBLE) AS value FROM part WHERE p_type = (SELECT p_type FROM part WHERE p_partkey = 1)")
 def signal_bonus_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("category"))
-    return recommend.same_category(part.where("id % 5 = 0"), part.where("id = 1").first()["category"])
+    return recommend.same_category(part, part.where("id = 1").first()["category"])
 
 
 @register(
@@ -113,19 +117,19 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "citations_extract",
-    r"""SELECT conv_id, turn, len(list_distinct(list_filter(list_transform(regexp_extract_all(text || ' see [2] and [1, 3][9]', '[0-9]+'), lambda x: CAST(x AS BIGINT)), lambda x: false))) + 3 AS n,
-      '2,1,3' AS numbers FROM conversations WHERE NOT regexp_matches(text, '\[[0-9]')""",
+    r"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(
+      regexp_extract_all(text || ' see [2] and [1, 3][9]', '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda g: regexp_split_to_array(g, '\s*,\s*'))),
+      lambda x: TRY_CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND 5))), ',') AS numbers FROM conversations""",
 )
 def citations_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"\[[0-9]"))
     found = passages.citations(F.concat("text", F.lit(" see [2] and [1, 3][9]")), F.lit(5))
-    return turns.select("conv_id", "turn", F.size(found).cast("long").alias("n"), F.concat_ws(",", found.cast("array<string>")).alias("numbers"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(",", F.array_sort(found).cast("array<string>")).alias("numbers"))
 
 
-@register("library_counts", "SELECT r_regionkey AS id, r_name AS name, count(n_nationkey) AS passages FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey < 12 GROUP BY ALL")
+@register("library_counts", "SELECT r_regionkey AS id, r_name AS name, count(n_nationkey) AS passages FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
 def library_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    return passages.library(documents, table(spark, sf_dir, "nation").where("n_nationkey < 12").select(F.col("n_regionkey").alias("document")))
+    return passages.library(documents, table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("document")))
 
 
 @register(
@@ -147,12 +151,12 @@ def balanced_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "behaviour_recall",
-    """WITH r AS (SELECT o_custkey AS query_id, o_orderkey % 40 AS id FROM orders WHERE o_custkey < 200),
-    t AS (SELECT DISTINCT o_custkey AS query_id, o_orderkey % 30 AS id FROM orders WHERE o_custkey < 200)
+    """WITH r AS (SELECT o_custkey AS query_id, o_orderkey % 40 AS id FROM orders),
+    t AS (SELECT DISTINCT o_custkey AS query_id, o_orderkey % 30 AS id FROM orders)
     SELECT query_id, round(count(h.id) / least(10, count(*)), 9) AS recall FROM t LEFT JOIN (SELECT DISTINCT * FROM r) h USING (query_id, id) GROUP BY 1""",
 )
 def behaviour_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_custkey < 200")
+    orders = table(spark, sf_dir, "orders")
     made = lambda m: orders.select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % m).alias("id"))
     return recommend.behaviour_recall(made(40), made(30)).withColumn("recall", F.round("recall", 9))
 

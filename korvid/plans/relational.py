@@ -23,7 +23,7 @@ SAME = {
     "filter_or_precedence": ("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 OR NOT (o_custkey >= 100 OR o_totalprice < 50000)", "orders"),
     "filter_three_valued": ("SELECT o_orderkey FROM orders WHERE (o_totalprice > 150000 OR NULL) AND NOT (o_custkey > 1000 AND NULL)", "orders"),
     "filter_null_comparison": ("SELECT COUNT(*) AS n FROM orders WHERE o_custkey = NULL OR o_custkey IN (1, NULL) OR NULL IS NULL AND o_custkey < 10", "orders"),
-    "filter_is_null": ("SELECT c_custkey FROM customer WHERE c_name IS NOT NULL AND NOT c_acctbal IS NULL AND c_custkey < 40", "customer"),
+    "filter_is_null": ("SELECT c_custkey FROM customer WHERE c_name IS NOT NULL AND NOT c_acctbal IS NULL", "customer"),
     "filter_range_reversed": ("SELECT o_orderkey FROM orders WHERE 100 > o_orderkey AND o_orderkey > -5", "orders"),
     "filter_mixed_numbers": ("SELECT s_suppkey FROM supplier WHERE s_suppkey = 17.0 OR s_acctbal >= 9000", "supplier"),
     "filter_string_order": ("SELECT n_name FROM nation WHERE n_name > 'F' AND n_name < 'P'", "nation"),
@@ -89,23 +89,23 @@ dialect(
 )
 dialect(
     "arith_integers",
-    "SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS a, l_linenumber * 2 - 3 AS b, -l_linenumber AS c FROM lineitem WHERE l_orderkey < 300",
+    "SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS a, l_linenumber * 2 - 3 AS b, -l_linenumber AS c FROM lineitem",
     "lineitem",
-    "SELECT l_orderkey, l_linenumber, CAST(l_linenumber + 1 AS BIGINT) AS a, CAST(l_linenumber * 2 - 3 AS BIGINT) AS b, -l_linenumber AS c FROM lineitem WHERE l_orderkey < 300",
+    "SELECT l_orderkey, l_linenumber, CAST(l_linenumber + 1 AS BIGINT) AS a, CAST(l_linenumber * 2 - 3 AS BIGINT) AS b, -l_linenumber AS c FROM lineitem",
 )
 dialect("group_by_constant", "SELECT COUNT(*) AS n FROM region GROUP BY 1", "region", "SELECT COUNT(*) AS n FROM region")
 dialect(
     "arith_floor_mod",
-    "SELECT l_orderkey, l_linenumber, l_linenumber % 3 AS a, (0 - l_linenumber) % 3 AS b, l_linenumber % -3 AS c, (0 - l_linenumber) % -3 AS d, (0 - l_quantity) % 7 AS e FROM lineitem WHERE l_orderkey < 1000",
+    "SELECT l_orderkey, l_linenumber, l_linenumber % 3 AS a, (0 - l_linenumber) % 3 AS b, l_linenumber % -3 AS c, (0 - l_linenumber) % -3 AS d, (0 - l_quantity) % 7 AS e FROM lineitem",
     "lineitem",
     "SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 3 AS BIGINT) AS a, CAST(((-l_linenumber) % 3 + 3) % 3 AS BIGINT) AS b, CAST(-(((-l_linenumber) % 3 + 3) % 3) AS BIGINT) AS c, "
-    "CAST(-(l_linenumber % 3) AS BIGINT) AS d, ((-l_quantity) % 7 + 7) % 7 AS e FROM lineitem WHERE l_orderkey < 1000",
+    "CAST(-(l_linenumber % 3) AS BIGINT) AS d, ((-l_quantity) % 7 + 7) % 7 AS e FROM lineitem",
 )
 dialect(
     "arith_division",
-    "SELECT l_orderkey, l_linenumber, l_linenumber / 4 AS q, l_quantity / 7 AS r FROM lineitem WHERE l_orderkey < 500",
+    "SELECT l_orderkey, l_linenumber, l_linenumber / 4 AS q, l_quantity / 7 AS r FROM lineitem",
     "lineitem",
-    "SELECT l_orderkey, l_linenumber, l_linenumber / 4.0 AS q, round(l_quantity / 7, 9) AS r FROM lineitem WHERE l_orderkey < 500",
+    "SELECT l_orderkey, l_linenumber, l_linenumber / 4.0 AS q, round(l_quantity / 7, 9) AS r FROM lineitem",
     r=9,
 )
 dialect("compare_unlike_types", "SELECT COUNT(*) AS n FROM customer WHERE c_custkey != 'x' AND NOT c_name = 5 AND c_name != TRUE", "customer", "SELECT COUNT(*) AS n FROM customer")
@@ -192,10 +192,10 @@ def explain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir, "lineitem").sql(f"EXPLAIN ANALYZE {FLAGSHIP}")
 
 
-@register("fk_violations", "SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3)")
+@register("fk_violations", "SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children without a parent, once some parents are gone."""
-    parents = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 3")
+    parents = table(spark, sf_dir, "customer").where("c_acctbal >= 0")
     return table(spark, sf_dir, "orders").join(parents, F.col("o_custkey") == F.col("c_custkey"), "left_anti").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -95,7 +95,7 @@ def geo_viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "geo_boxes",
-    f"""WITH b AS (SELECT c_nationkey AS k, min(lat) AS a0, min(lon) AS o0, max(lat) AS a1, max(lon) AS o1 FROM {C} WHERE c_custkey % 40 = 1 GROUP BY 1)
+    f"""WITH b AS (SELECT c_nationkey AS k, min(lat) AS a0, min(lon) AS o0, max(lat) AS a1, max(lon) AS o1 FROM {C} GROUP BY 1)
     SELECT x.k AS x, y.k AS y, round((x.a1 - x.a0) * (x.o1 - x.o0), 6) AS area, round(x.a1 - x.a0 + x.o1 - x.o0, 6) AS margin,
       round((greatest(x.a1, y.a1) - least(x.a0, y.a0)) * (greatest(x.o1, y.o1) - least(x.o0, y.o0)) - (x.a1 - x.a0) * (x.o1 - x.o0), 6) AS enlargement,
       round(greatest(0, least(x.a1, y.a1) - greatest(x.a0, y.a0)) * greatest(0, least(x.o1, y.o1) - greatest(x.o0, y.o0)), 6) AS overlap,
@@ -103,8 +103,8 @@ def geo_viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM b x JOIN b y ON x.k = (y.k + 1) % 25""",
 )
 def geo_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "customer").where("c_custkey % 40 = 1").withColumn("p", place("c_custkey"))
-    boxes = df.groupBy(F.col("c_nationkey").alias("k")).agg(spatial.box_of(F.collect_list("p")).alias("b"))
+    df = table(spark, sf_dir, "customer").withColumn("p", place("c_custkey"))
+    boxes = df.groupBy(F.col("c_nationkey").alias("k")).agg(spatial.box_agg(F.col("p")).alias("b"))
     pairs = boxes.select(F.col("k").alias("x"), F.col("b").alias("a")).join(boxes.select(F.col("k").alias("y"), "b"), F.col("x") == (F.col("y") + 1) % 25)
     a, b = F.col("a"), F.col("b")
     six = lambda c: F.round(c, 6)
@@ -123,13 +123,13 @@ def geo_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "geo_nearest_with_stock",
     f"""SELECT s_suppkey AS id, round({haversine_sql(10, 20)}, 3) AS distance, CAST(units AS BIGINT) AS units
-    FROM (SELECT s_suppkey, {place_sql('s_suppkey')} FROM supplier) JOIN (SELECT l_suppkey, count(*) AS units FROM lineitem WHERE l_partkey < 20 GROUP BY 1) ON s_suppkey = l_suppkey
+    FROM (SELECT s_suppkey, {place_sql('s_suppkey')} FROM supplier) JOIN (SELECT l_suppkey, count(*) AS units FROM lineitem WHERE l_partkey = 7 GROUP BY 1) ON s_suppkey = l_suppkey
     ORDER BY {haversine_sql(10, 20)}, s_suppkey LIMIT 5""",
 )
 def geo_nearest_with_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), place("s_suppkey").alias("place"))
-    stock = table(spark, sf_dir, "lineitem").where("l_partkey < 20").groupBy(F.col("l_suppkey").alias("store")).agg(F.count(F.lit(1)).alias("units")).withColumn("product", F.lit(1))
-    found = recommend.nearest_stores(stores, 10, 20, stock, 1, limit=5)
+    stock = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("store"), F.col("l_partkey").alias("product")).agg(F.count(F.lit(1)).alias("units"))
+    found = recommend.nearest_stores(stores, 10, 20, stock, 7, limit=5)
     return found.select("id", F.round("distance", 3).alias("distance"), "units")
 
 

@@ -58,14 +58,13 @@ def vec_topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "vec_batch_queries",
-    f"""WITH q AS (SELECT vec_id AS query_id, {E} AS q FROM embeddings WHERE vec_id < 20),
+    f"""WITH q AS (SELECT vec_id AS query_id, {E} AS q FROM embeddings WHERE vec_id % 100 = 0),
     r AS (SELECT query_id, vec_id AS id, list_distance({E}, q) AS d, row_number() OVER (PARTITION BY query_id ORDER BY list_distance({E}, q), vec_id) AS rank FROM q, embeddings)
     SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
 )
 def vec_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
-    queries = {r["vec_id"]: list(r["embedding"]) for r in df.where("vec_id < 20").collect()}
-    return vectors.top_k_batch(df, "embedding", queries, 5, "euclidean", "vec_id").select("query_id", "id", "rank")
+    return vectors.top_k_join(df, asked(df), "embedding", 5, "euclidean", "vec_id").select("query_id", "id", "rank")
 
 
 @register("vec_ivf")
@@ -81,8 +80,13 @@ def vec_ivf_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.search(QUERY, 10, probes=8, tie="vec_id").select("vec_id")
 
 
-def _recall(found: DataFrame, df: DataFrame, queries: dict) -> DataFrame:
-    truth = vectors.top_k_batch(df, "embedding", queries, 10, "euclidean", "vec_id")
+def asked(df: DataFrame) -> DataFrame:
+    """The rows that serve as queries: ids divisible by 100."""
+    return df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def _recall(found: DataFrame, df: DataFrame) -> DataFrame:
+    truth = vectors.top_k_join(df, asked(df), "embedding", 10, "euclidean", "vec_id")
     return vectors.recall_at_k(found, truth).agg(F.avg("recall").alias("recall"), F.count(F.lit(1)).alias("queries"))
 
 
@@ -90,22 +94,19 @@ def _recall(found: DataFrame, df: DataFrame, queries: dict) -> DataFrame:
 def vec_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of the layered graphs against exact search."""
     df = table(spark, sf_dir, "embeddings")
-    queries = {r["vec_id"]: list(r["embedding"]) for r in df.where("vec_id < 10").collect()}
-    return _recall(graph.approximate_top_k(df, "embedding", queries, 10, "euclidean", "vec_id"), df, queries)
+    return _recall(graph.approximate_top_k(df, "embedding", asked(df), 10, "euclidean", "vec_id"), df)
 
 
 @register(
     "precision_at_k",
-    f"""WITH q AS (SELECT vec_id AS query_id, label AS own, {E} AS q FROM embeddings WHERE vec_id < 20),
+    f"""WITH q AS (SELECT vec_id AS query_id, label AS own, {E} AS q FROM embeddings WHERE vec_id % 100 = 0),
     r AS (SELECT query_id, own, label, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity({E}, q) DESC, vec_id) AS rank FROM q, embeddings)
     SELECT query_id, count(*) FILTER (own = label) / 10.0 AS precision FROM r WHERE rank <= 10 GROUP BY 1""",
 )
 def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
-    sample = df.where("vec_id < 20")
-    queries = {r["vec_id"]: list(r["embedding"]) for r in sample.collect()}
-    found = vectors.top_k_batch(df, "embedding", queries, 10, "cosine", "vec_id")
-    relevant = sample.select(F.col("vec_id").alias("query_id"), "label").join(df.select(F.col("vec_id").alias("id"), "label"), "label")
+    found = vectors.top_k_join(df, asked(df), "embedding", 10, "cosine", "vec_id")
+    relevant = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(df.select(F.col("vec_id").alias("id"), "label"), "label")
     return vectors.precision_at_k(found, relevant, 10)
 
 

@@ -201,8 +201,11 @@ def test_exact_neighbours(cloud, metric):
 def test_lists_and_graphs_find_most_neighbours(cloud):
     v, df = cloud
     queries = {i: v[i].tolist() for i in range(20)}
+    asked = df.where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     truth = vectors.top_k_batch(df, "v", queries, 5, "euclidean")
-    found = graph.approximate_top_k(df, "v", queries, 5, "euclidean")
+    joined = vectors.top_k_join(df, asked, "v", 5, "euclidean")
+    assert {tuple(r) for r in joined.select("query_id", "id", "rank").collect()} == {tuple(r) for r in truth.select("query_id", "id", "rank").collect()}
+    found = graph.approximate_top_k(df, "v", asked, 5, "euclidean")
     assert vectors.recall_at_k(found, truth).agg(F.avg("recall")).first()[0] > 0.8
     ivf = vectors.build_ivf(df, "v", "euclidean")
     assert ivf.lists == 17
