@@ -181,15 +181,22 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 
 
 def temperature(scored: list[tuple[np.ndarray, int]]) -> float:
-    """The temperature of the least log loss, by golden section on its logarithm."""
-    if not scored:
+    """The temperature of the least log loss, by golden section on its logarithm.
+
+    The targets are (n + 1) / (n + 2) for the right language, the rest for the others: n examples
+    without an error don't prove certainty.
+    """
+    if not scored or len(scored[0][0]) < 2:
         return 1.0
     logits, labels = np.array([s for s, _ in scored]), np.array([y for _, y in scored])
+    doubt = 1.0 / (len(labels) + 2)
+    targets = np.full(logits.shape, doubt / (logits.shape[1] - 1))
+    targets[np.arange(len(labels)), labels] = 1.0 - doubt
 
     def loss(log_t: float) -> float:
         z = logits / np.exp(log_t)
         z -= z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(labels)), labels]).mean())
+        return float((np.log(np.exp(z).sum(axis=1)) - (z * targets).sum(axis=1)).mean())
 
     lo, hi, ratio = -3.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
