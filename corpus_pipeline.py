@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from korvid.llm import langid, line_dedup, mixing, packing, simhash
 
 #: A document goes if its language can't be told, or is told with less than this probability.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
