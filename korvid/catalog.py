@@ -198,7 +198,11 @@ class Catalog:
         path = f"{self.root}/{name}/part-{uuid.uuid4().hex}"
         if table.organisation != "HEAP" and table.primary_key:
             df = df.sortWithinPartitions(table.primary_key)
-        df.select(*table.schema().names).write.parquet(path)
+        writer = df.select(*table.schema().names).write
+        for index in table.indexes:
+            if index.method == "HASH":  # equality then skips row groups
+                writer = writer.option(f"parquet.bloom.filter.enabled#{index.column}", "true")
+        writer.parquet(path)
         return path
 
     def compact(self, name: str) -> None:

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from korvid.catalog import MEDIA, RID, Catalog, Field, Index, Table, vector_column
 from korvid.errors import SQLError, SQLExecutionError, SQLIntegrityError, SQLSemanticError
+from korvid.operators import spatial, vectors
 from korvid.operators import text as text_ops
-from korvid.operators import vectors
 from korvid.sources import csv as csv_source
 from korvid.sources import media
 from korvid.sql import ast as a
 from korvid.sql.explain import render
-from korvid.sql.lower import SIMILARITY, Bound, Expressions, Lowering, Node, Scope, Source, at, slot
+from korvid.sql.lower import SIMILARITY, Bound, Expressions, Lowering, Node, Scope, Source, at, conjuncts, find, slot
 from korvid.sql.parser import parse_script
 
 #: Which index method goes with which column type.
@@ -34,6 +34,8 @@ INDEXABLE = {
     "HNSW": ("IMAGE", "AUDIO", "VECTOR"),
     "IVF": ("IMAGE", "AUDIO", "VECTOR"),
 }
+#: Parts after which a sorted table is rewritten as one.
+MOST_PARTS = 32
 LANGUAGES = {"english": "english", "en": "english", "ingles": "english", "spanish": "spanish", "es": "spanish", "espanol": "spanish", "español": "spanish"}
 
 
@@ -83,6 +85,10 @@ class Engine:
         self.catalog.get(name).indexes += list(indexes)
         self._derived = {k: v for k, v in self._derived.items() if k[0] != name}
 
+    @property
+    def in_transaction(self) -> bool:
+        return self._open is not None
+
     # -- statements --
 
     def execute(self, text: str) -> Result:
@@ -272,6 +278,8 @@ class Engine:
         table.parts.append(self.catalog.write_part(table.name, df))
         table.next_rid += n
         table.version += 1
+        if table.organisation != "HEAP" and len(table.parts) > MOST_PARTS:
+            self.catalog.compact(table.name)
 
     def _check_keys(self, table: Table, df: DataFrame) -> None:
         key = table.primary_key
@@ -399,6 +407,34 @@ class Engine:
                 if df is not None:
                     df.unpersist()
 
+    # -- maps --
+
+    def map_payload(self, text: str, limit: int = 5000) -> dict:
+        """What a map of a query over one table with points shows: the table's points (at most
+        `limit`, by row id), the ids in the result, the shapes that the query names, and the view."""
+        (q,) = parse_script(text)
+        table = self.catalog.get(q.table.name)
+        f = next((f for f in table.fields if f.type == "POINT"), None)
+        if f is None or q.joins:
+            raise SQLSemanticError("a map needs a query over one table with points")
+        key = table.primary_key or RID
+        p, frame = at(f.name), self.catalog.frame(q.table.name)
+        points = frame.select(at(key).alias("id"), p["lat"].alias("lat"), p["lon"].alias("lon"))
+        view = spatial.viewport(frame, p).first().asDict()
+        shown = a.Select((a.SelectItem(a.Ref(key), "id"),), q.table, (), q.where, (), None, q.order_by, q.limit, q.offset) if key != RID else None
+        ids = [r[0] for r in self.lowering.select(shown).df.limit(limit).collect()] if shown is not None else []
+        shapes = []
+        for e in conjuncts(q.where):
+            for w in find(e, a.Within):
+                shapes.append({"kind": "polygon", "rings": w.polygon.rings})
+            if isinstance(e, a.Binary) and e.op in ("<", "<=") and isinstance(e.left, a.Distance) and isinstance(e.right, a.Literal):
+                centre = next((x for x in (e.left.left, e.left.right) if isinstance(x, a.Point)), None)
+                if centre is not None:
+                    shapes.append({"kind": "circle", "lat": centre.lat, "lon": centre.lon, "radius": e.right.value})
+        centres = [x for o in q.order_by for d in find(o.expr, a.Distance) for x in (d.left, d.right) if isinstance(x, a.Point)]
+        shapes += [{"kind": "centre", "lat": c.lat, "lon": c.lon} for c in centres]
+        return {"points": [tuple(r) for r in points.orderBy("id").limit(limit).collect()], "ids": ids, "shapes": shapes, "view": view}
+
     # -- EXPLAIN --
 
     def _explain(self, s: a.Explain) -> Result:
