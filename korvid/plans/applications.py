@@ -15,7 +15,7 @@ PURCHASES = "SELECT user_id AS u, event_id % 50 AS product, epoch(ts) AS ts, eve
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    return events.select(F.col("user_id").alias("user"), (F.col("event_id") % 50).alias("product"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), "event_id", "value")
+    return events.select(F.col("user_id").alias("user"), (F.col("event_id") % 50).alias("product"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("ts"), "event_id", "value")
 
 
 @register(
