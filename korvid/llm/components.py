@@ -16,7 +16,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     nodes with a link take part; loops and repeated links are harmless, no links give no rows.
     A hub's links are a skewed join, which adaptive execution splits.
     """
-    links = links.select("src", "dst").where("src <> dst")
+    # Read twice below: computed once, as a forest that is made again may have other links.
+    links = checkpoint(links.select("src", "dst").where("src <> dst"))
     both = links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = checkpoint(both.groupBy("src", "dst").agg(F.lit(1).alias("one")).select("src", "dst"))
     labels = checkpoint(

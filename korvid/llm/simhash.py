@@ -245,7 +245,7 @@ def linked(fps: DataFrame, radius: int = 2) -> DataFrame:
         if held:
             yield from classes(held)
 
-    dealt = rows.repartition("tab", "key").sortWithinPartitions("tab", "key")
+    dealt = rows.repartition("tab", "key").sortWithinPartitions("tab", "key", "fp")
     return dealt.mapInArrow(run, "src long, dst long")
 
 
