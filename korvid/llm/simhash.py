@@ -213,6 +213,21 @@ def linked(fps: DataFrame, radius: int = 2) -> DataFrame:
         for i, (a, b) in enumerate(pairs)
     ]
     rows = fps.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.tab", "k.key", "fp")
+    wide = checkpoint(rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select("tab", "key"))
+    if not wide.isEmpty():
+        # Of the 32 bits that a wide bucket's key leaves out, one of three parts must agree too. After
+        # that a bucket has 42 bits in common, so no task gets more than 2**22 fingerprints of one.
+        other = {i: tuple(sorted(set(range(4)) - set(ab))) for i, ab in enumerate(pairs)}
+        free = F.coalesce(*[F.when(F.col("tab") == i, F.shiftleft(part(c), 16).bitwiseOR(part(d))) for i, (c, d) in other.items()])
+        longer = [
+            F.struct(
+                (F.col("tab") * 3 + len(pairs) + k).alias("tab"),
+                F.shiftleft("key", 11).bitwiseOR(F.shiftrightunsigned(free, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))).alias("key"),
+            )
+            for k, (first, bits) in enumerate(((0, 11), (11, 11), (22, 10)))
+        ]
+        split = rows.join(wide, ["tab", "key"], "left_semi").select(F.explode(F.array(*longer)).alias("k"), "fp").select("k.tab", "k.key", "fp")
+        rows = rows.join(wide, ["tab", "key"], "left_anti").unionByName(split)
 
     def classes(held):
         tab, key, fp = (np.concatenate(x) for x in zip(*held))
@@ -220,7 +235,8 @@ def linked(fps: DataFrame, radius: int = 2) -> DataFrame:
         values, out = fp.view(np.uint64), []
         for t in np.unique(tab):
             own = np.flatnonzero(tab == t)
-            labels = bucket_classes(values[own], bucket[own], radius, tuple(set(range(4)) - set(pairs[t])))
+            first = t if t < len(pairs) else (t - len(pairs)) // 3
+            labels = bucket_classes(values[own], bucket[own], radius, tuple(set(range(4)) - set(pairs[first])))
             other = np.flatnonzero(labels != np.arange(len(own)))
             out.append(pa.record_batch([pa.array(fp[own[other]]), pa.array(fp[own[labels[other]]])], names=["src", "dst"]))
         return out

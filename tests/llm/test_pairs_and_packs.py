@@ -84,6 +84,31 @@ def test_bit_sliced_buckets_equal_brute_force(monkeypatch):
     assert labels.tolist() == brute
 
 
+@pytest.mark.parametrize("wide", [8, 4096])
+def test_links_of_wide_buckets(spark, monkeypatch, wide):
+    monkeypatch.setattr(simhash, "WIDE", wide)
+    rng = random.Random(11)
+    prints = set()
+    for centre in (rng.getrandbits(64) for _ in range(3)):
+        for _ in range(60):
+            prints.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))))
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    links = simhash.linked(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+    at = {p: i for i, p in enumerate(signed)}
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in links:
+        a, b = sorted((find(at[r.src]), find(at[r.dst])))
+        parent[b] = a
+    assert [find(i) for i in range(len(prints))] == brute_components(prints)
+
+
 def test_simhash_empty_and_repeated(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).collect() == []
