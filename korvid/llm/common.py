@@ -48,6 +48,13 @@ def worker_state(name: str) -> dict:
     return holder.__dict__.setdefault(f"state_{name}", {})
 
 
+def small(batches, rows: int = 512):
+    """The same rows in small batches, so that a worker never holds many texts twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def as_bytes(column: str = "text"):
     """UTF-8 bytes of a text column; null becomes empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import worker_state
+from korvid.llm.common import small, worker_state
 
 FEATURES = 1 << 15
 #: At most about so many labelled rows train the weights, shared evenly by the languages.
@@ -107,7 +107,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches):
         total, rows = np.zeros(FEATURES, np.int64), 0
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 counts = gram_counts(text) if text else None
                 if counts is not None:
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         pick = pick | ((F.col("lang") == lang) & (unit < part))
 
     def vectors(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for key, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 counts = gram_counts(text)
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[
     at = rest.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = [model.predict(t) for t in batch.column(at).to_pylist()]
             made = [pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
             yield pa.record_batch([*batch.columns, *made], names=[*rest, *into])

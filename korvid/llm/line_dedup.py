@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import as_bytes, checkpoint
+from korvid.llm.common import as_bytes, checkpoint, small
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -32,7 +32,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     """
 
     def hashes(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, out = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = {h for line in text.split(b"\n") if (h := line_hash(line, min_chars))}
@@ -41,7 +41,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["_id", "_hash"])
 
     def rebuild(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts, total, gone = [], [], []
             for text, drops in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines = text.split(b"\n")

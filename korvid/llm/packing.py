@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korvid.llm.common import as_bytes, checkpoint, worker_state
+from korvid.llm.common import checkpoint, small, worker_state
 
 CAPACITY, EOS = 2048, 0
 #: Words whose ids one Python worker keeps.
-CACHED = 1_000_000
+CACHED = 700_000
 #: Ranks are counted in this many parts of each length, so that a hot length is no single task.
 PARTS = 64
 
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     """(doc_id, piece, start, length, ids_crc32): the documents' ids plus EOS, cut only beyond the capacity."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             encode = words(tokenizer).encode
             ids = batch.column(0).to_pylist()

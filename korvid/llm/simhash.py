@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import as_bytes, checkpoint
+from korvid.llm.common import as_bytes, checkpoint, small
 from korvid.llm.components import connected_components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -76,7 +76,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3, id_col: str = "doc_id", te
     """(doc_id, text_hash, fp): every row's fingerprint as a signed long, and a hash of its text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             fps = fingerprints(batch.column(2).to_pylist(), width)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import as_bytes, checkpoint, stored, worker_state
+from korvid.llm.common import as_bytes, checkpoint, small, stored, worker_state
 
 #: Bytes that make a head; windows need at least twice as many.
 GRAM = 64
@@ -231,7 +231,7 @@ def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        for batch in batches:
+        for batch in small(batches):
             did, tid, texts = (batch.column(i).to_pylist() for i in range(3))
             made = [_own_repeats(anchors(t, length, gram_of(length)), length) for t in texts]
             many = [len(rows[0]) + len(marks[0]) for rows, marks in made]
@@ -252,7 +252,7 @@ def _cut_segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame
     """The segments of the wanted(did, tid, pos, lo, hi, d) anchors."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             unpack = zstandard.ZstdDecompressor().decompress
             for did, tid, packed, spots in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -333,12 +333,12 @@ def drop_repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("did"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
     def pack(batches):
-        for batch in batches:
+        for batch in small(batches):
             squeeze = zstandard.ZstdCompressor(level=1).compress
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(map(squeeze, batch.column(2).to_pylist()), pa.binary())], names=["did", "tid", "packed"])
 
     def rebuild(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             unpack = zstandard.ZstdDecompressor().decompress
             for did, packed, ranges in zip(*(batch.column(i).to_pylist() for i in range(3))):
