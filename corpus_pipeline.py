@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvid.llm import langid, line_dedup, mixing, packing, simhash
+from korvid.llm import langid, line_dedup, mixing, packing, shingles
 from korvid.llm.common import stored
 
 #: A document goes if its language can't be told, or is told with less than this probability.
@@ -25,7 +25,7 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return shingles.keep_first(docs, width=5, least=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
