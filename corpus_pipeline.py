@@ -10,6 +10,8 @@ from korvid.llm.common import stored
 
 #: A document goes if its language can't be told, or is told with less than this probability.
 LEAST_SCORE = 0.3
+#: The share of the clean corpus' tokens that the mix draws.
+MIX_SHARE = 0.75
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, into=("_topic", "_tokens", "_probability")).select(*docs.columns)
+    return mixing.mixed(docs, into=("_topic", "_tokens", "_probability"), keep=MIX_SHARE).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

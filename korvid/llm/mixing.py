@@ -59,12 +59,17 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     return cells.select(*DIMENSIONS, "tokens", "weight")
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", into: tuple[str, str, str] = ("topic", "tokens", "probability")) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", into: tuple[str, str, str] = ("topic", "tokens", "probability"), keep: float | None = None) -> DataFrame:
     """The rows of docs drawn for the mix, plus the columns `into`: topic, tokens and probability.
 
     A row is drawn if its hashed id, as a number from 0 to 1, is below its cell's probability:
     the raked weight per token, over the largest of all cells. So the expected token shares of
-    what is drawn are the raked ones, and no row is drawn twice.
+    what is drawn are the raked ones, and no row is drawn twice. But one small cell of a high rate
+    then lowers what is drawn of all others.
+
+    With `keep`, that share of all tokens is drawn in expectation: the rates are scaled to it,
+    cells that reach 1 are drawn whole, and what they lack goes to the others by their rates.
+    Cells of rate 0 stay out, so at most the tokens of the rest are drawn.
 
     Null sources and languages are categories named '' (with those that are ''), a null text is
     empty, and every text has one token at least. Rows with a null id hash the empty string;
@@ -78,7 +83,11 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     cells = checkpoint(slim.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     raked = checkpoint(rake(cells, targets, temper, rounds).withColumn("rate", F.col("weight") / F.col("tokens")))
     stats = raked.agg(F.max("rate").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    odds = raked.select(*[F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS], F.round(F.col("rate") / F.lit(stats["top"] or 1.0), 12).alias("_cell_odds"))
+    if keep is None:
+        chance = F.col("rate") / F.lit(stats["top"] or 1.0)
+    else:
+        chance = F.least(F.lit(1.0), F.col("rate") * F.lit(scale_for(raked, keep)))
+    odds = raked.select(*[F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS], F.round(chance, 12).alias("_cell_odds"))
     if stats["n"] <= BROADCAST_CELLS:
         odds = F.broadcast(odds)
     base = docs.select(*[F.col(f"`{c}`") for c in rest], keys["topic"].alias(topic), tokens_of(F.col(text_col)).alias(tokens))
@@ -87,6 +96,28 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     return drawn.select(*[base[f"`{c}`"] for c in (*rest, topic, tokens)], odds["_cell_odds"].alias(probability))
 
 
+def scale_for(raked: DataFrame, keep: float) -> float:
+    """The factor s for which the sum of tokens * min(1, s * rate) is `keep` of all tokens.
+
+    Each round lets the cells that reached 1 count with their tokens and scales the others to the
+    rest; the factor only grows, and it stands once no further cell reaches 1.
+    """
+    scale = 0.0
+    while True:
+        full = F.col("rate") * F.lit(scale) >= 1
+        held = raked.agg(
+            F.sum("tokens").alias("all"),
+            F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"),
+            F.sum(F.when(full, F.lit(0.0)).otherwise(F.col("weight"))).alias("rest"),
+        ).first()
+        if not held["rest"]:
+            return scale
+        after = max(scale, (keep * held["all"] - held["full"]) / held["rest"])
+        if after <= scale * (1 + 1e-12):
+            return scale
+        scale = after
+
+
 def unit_of(key: Column) -> Column:
     """A number from 0 to 1 by hash; the same in any engine that has MD5."""
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
