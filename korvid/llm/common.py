@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -10,6 +11,7 @@ import uuid
 import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import korvid.llm
 
@@ -18,11 +20,16 @@ cloudpickle.register_pickle_by_value(korvid.llm)
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set and all runs in one process (tests)."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="korvid-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="korvid-checkpoint-")
+    sc.setCheckpointDir(shared)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -31,6 +38,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a checkpoint() that nothing will read again."""
+    plan = df._jdf.queryExecution().analyzed()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared folder and read again; the files go when the application ends."""
     spark = df.sparkSession
@@ -58,3 +74,37 @@ def small(batches, rows: int = 512):
 def as_bytes(column: str = "text"):
     """UTF-8 bytes of a text column; null becomes empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def place_of(docs: DataFrame, name: str) -> int:
+    """The number of the column: by its exact name, or else without regard to case."""
+    names = docs.columns
+    return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
+
+
+def numbered_columns(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ...: whatever they were called, expressions can name them."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def kept_places(docs: DataFrame, replaced) -> list[int]:
+    """The numbers of the columns that none of the names replaces; Spark ignores case, so this does."""
+    gone = {c.lower() for c in replaced}
+    return [i for i, c in enumerate(docs.columns) if c.lower() not in gone]
+
+
+def schema_of(docs: DataFrame, places: list[int], **more: T.DataType) -> T.StructType:
+    """The schema of the numbered columns, and further ones."""
+    fields = [T.StructField(f"c{i}", docs.schema[i].dataType) for i in places]
+    return T.StructType(fields + [T.StructField(name, kind) for name, kind in more.items()])
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with as many lines before them as it takes to be none of docs' columns."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

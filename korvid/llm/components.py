@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import checkpoint
+from korvid.llm.common import checkpoint, forget
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = checkpoint(links.select("src", "dst").where("src <> dst"))
     both = links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = checkpoint(both.groupBy("src", "dst").agg(F.lit(1).alias("one")).select("src", "dst"))
-    labels = checkpoint(
+    seen = labels = checkpoint(
         both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("label"))
     )
     while True:
@@ -31,6 +31,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         after = checkpoint(
             hooked.join(up, "label").select("node", F.least("label", "above").alias("label"), (F.least("label", "above") != F.col("old")).alias("moved"))
         )
-        labels = after.select("node", "label")
-        if after.where("moved").isEmpty():
+        ended = after.where("moved").isEmpty()
+        forget(seen)
+        seen, labels = after, after.select("node", "label")
+        if ended:
             return labels

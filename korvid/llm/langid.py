@@ -15,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from korvid.llm.common import small, worker_state
+from korvid.llm.common import kept_places, numbered_columns, place_of, schema_of, small, worker_state
 
 FEATURES = 1 << 15
 #: At most about so many labelled rows train the weights, shared evenly by the languages.
 SAMPLE = 2000
-#: At most so many languages are learnt, the most frequent ones.
-LANGUAGES = 500
+#: A learnt language has at least so many rows of the sample, so SAMPLE // LEAST languages are learnt at most.
+LEAST = 4
 #: Features are scaled so that the usual learning rates fit.
 SCALE = 100.0
 #: Fixed multipliers of the hash, odd and large.
@@ -131,11 +132,14 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     """Learns from rows with an id and a language that are not held out.
 
     The document frequencies cover all of them; the weights and the temperature see a hashed
-    sample of about `sample` rows (the documented bound of what the driver gets).
+    sample of about `sample` rows (the documented bound of what the driver gets), shared evenly
+    by the languages. A language needs LEAST rows of it, so at most sample // LEAST languages can
+    be learnt: the most frequent ones, by name among equals. Null texts count as empty, repeated
+    rows as several; without a usable row nothing is learnt and all is `und`.
     """
     usable = docs.where(learnable(id_col, lang_col, held_out))
     own = usable.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, sample // LEAST)).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.zeros((FEATURES, 0)), np.zeros(0))
@@ -161,8 +165,9 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
             kinds = (pa.string(), pa.string(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "lang", "f", "n"])
 
-    # The sample is hashed, so its size only varies a little; the limit makes the bound strict.
-    got = own.where(pick).mapInArrow(vectors, "id string, lang string, f binary, n binary").limit(2 * sample + 2 * len(languages)).collect()
+    # The sample is hashed, so its size only varies a little; the limit makes the bound strict, by the hash too.
+    picked = own.where(pick).mapInArrow(vectors, "id string, lang string, f binary, n binary")
+    got = picked.orderBy(F.xxhash64("id"), "id", "lang", "f").limit(2 * sample + 2 * len(languages)).collect()
     got.sort(key=lambda r: (r["id"][::-1], r["lang"], r["f"]))
     examples = []
     for r in got:
@@ -210,21 +215,20 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[
 
     A null or empty text or one without letters gets `und` and 0, as does everything if no
     language could be learnt; equal probabilities go to the first language by name. Repeated
-    rows get equal results, an empty table stays empty, other columns pass through, and own
-    columns named as in `into` are replaced.
+    rows get equal results, an empty table stays empty, other columns pass through, whatever their
+    names, and own columns named as in `into` (case aside) are replaced.
     """
-    rest = [c for c in docs.columns if c not in into]
-    at = rest.index(text_col)
+    text_at, keep = place_of(docs, text_col), kept_places(docs, into)
 
     def run(batches):
         for batch in small(batches):
-            found = [model.predict(t) for t in batch.column(at).to_pylist()]
+            found = [model.predict(t) for t in batch.column(0).to_pylist()]
             made = [pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
-            yield pa.record_batch([*batch.columns, *made], names=[*rest, *into])
+            yield pa.record_batch([*batch.columns[1:], *made], names=[*(f"c{i}" for i in keep), "lang", "score"])
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), f"`{into[0]}` string", f"`{into[1]}` double"])
-    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+    rows = numbered_columns(docs).select(F.col(f"c{text_at}").alias("text"), *[f"c{i}" for i in keep])
+    schema = schema_of(docs, keep, lang=T.StringType(), score=T.DoubleType())
+    return rows.mapInArrow(run, schema).toDF(*[docs.columns[i] for i in keep], *into)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

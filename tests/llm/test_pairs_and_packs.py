@@ -154,9 +154,21 @@ def test_lines_equal_brute_force(spark):
 
 def test_lines_null_ids_and_repeated_rows(spark):
     line = "the very same line in all of them"
-    rows = [(None, line), (1, line), (2, line), (2, line)]
-    got = sorted(((r.doc_id or 0), r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(0, line), (1, ""), (2, line), (2, line)]
+    schema = "doc_id long, text string"
+    run = lambda rows: sorted(((r.doc_id or 0), r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, schema)).collect())
+    # Rows of one id are one document, and rows without an id are none.
+    two = [(None, line), (1, line), (2, line), (2, line)]
+    assert run(two) == [(0, line), (1, line), (2, line), (2, line)]
+    assert run([*two, (3, line), (3, line)]) == [(0, line), (1, ""), (2, ""), (2, ""), (3, line), (3, line)]
+
+
+def test_lines_with_awkward_columns(spark):
+    line = "the very same line in all of them"
+    docs = spark.createDataFrame([(i, line, i, i, i, (i,)) for i in range(3)], "doc_id long, text string, _drop_hashes int, _whole_text int, `a.b` int, s struct<`a b`: int>")
+    docs = docs.withColumn("N_LINES", F.lit("clash")).withColumn("tick`s", F.lit(1))
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "_drop_hashes", "_whole_text", "a.b", "s", "tick`s", "n_lines", "n_dropped"]
+    assert sorted((r[0], r[1], r[4], r[5][0], r[7], r[8]) for r in got.collect()) == [(0, "", 0, 0, 1, 1), (1, "", 1, 1, 1, 1), (2, line, 2, 2, 1, 0)]
 
 
 # -- Chats -----------------------------------------------------------------------------------
