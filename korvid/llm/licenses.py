@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from korvid.llm.common import numbered_columns, place_of
+
 #: Known digests that may be broadcast; a longer list is joined by a shuffle.
 BROADCAST_KNOWN = 100_000
 
@@ -52,8 +54,38 @@ ISC_WARRANTY = (
     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
     "THIS SOFTWARE."
 )
+BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+BSD_ENDORSEMENT = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. "
+)
+BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, '
+    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+    "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+    "non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate "
+    "any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at "
+    "large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+    "perpetuity of all present and future rights to this software under copyright law. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES '
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, "
+    "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
 #: Licence texts and notices that stand as a whole text or as a line of their own.
-KNOWN = (
+TEXTS = (
     (
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -74,6 +106,24 @@ KNOWN = (
         "is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
         "original software. 3. This notice may not be removed or altered from any source distribution.",
     ),
+    ("BSD-2-Clause", BSD_CONDITIONS + BSD_WARRANTY),
+    ("BSD-3-Clause", BSD_CONDITIONS + BSD_ENDORSEMENT + BSD_WARRANTY),
+    ("Unlicense", UNLICENSE),
+    ("Unlicense", UNLICENSE + " For more information, please refer to <https://unlicense.org>"),
+    ("Unlicense", UNLICENSE + " For more information, please refer to <https://unlicense.org/>"),
+)
+#: Title lines that files of these licences begin with.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+    "Unlicense": ("The Unlicense",),
+}
+#: Notices of one line.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -86,11 +136,12 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 )
+KNOWN = (*TEXTS, *((name, f"{title}\n{text}") for name, text in TEXTS for title in TITLES[name]), *NOTICES)
 
 
 def canonical(text: Column) -> Column:
-    """The words of the text, one blank around each."""
-    words = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " "), NOT_A_WORD, " ")
+    """The words of the text, two blanks between them and one at either end, so that each word has its own."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " "), NOT_A_WORD, "  ")
     words = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
     for other, word in SPELLINGS:
         words = F.replace(words, F.lit(f" {other} "), F.lit(f" {word} "))
@@ -102,30 +153,45 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(docs: DataFrame, known=KNOWN) -> DataFrame:
+    rows = docs.sparkSession.createDataFrame(list(known), "license string, text string").where(canonical(F.col("text")) != "  ")
+    return rows.groupBy(digest(F.col("text")).alias("known")).agg(F.min("license").alias("license"))
+
+
+def _telling(docs: DataFrame, known) -> Column:
+    """A condition on a text `line` that holds if it is any of the known ones: it has the longest word of one of them."""
     rows = docs.sparkSession.createDataFrame(list(known), "license string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("_known")).agg(F.min("license").alias("_license"))
+    words = F.split(F.trim(canonical(F.col("text"))), "  ")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    found = {r[0] for r in rows.select(longest).distinct().collect() if r[0]}
+    found |= {other for other, word in SPELLINGS if word in found}
+    return F.lower("line").rlike("|".join(sorted(found)) if found else "(?!)")
 
 
 def scan(docs: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, license, notices) for every row of docs.
 
     digest is that of the whole text, license the known licence it is (null if none), notices
-    the sorted licences that lines of it name, '' if none. If known lists a text twice, the
-    first licence by name counts. A null text counts as empty; texts without a word have the
-    digest of none and match nothing. Rows with a null id get no notices of their own; rows
-    that repeat an id share theirs. An empty table gives none; other columns are not read.
+    the sorted licences that lines of it name, '' if none; both are those of the row's own text,
+    whatever its id, null and repeated ids included. If known lists a text twice, the first
+    licence by name counts; known texts without a word match nothing. A null text counts as empty;
+    texts without a word have the digest of none and match nothing. An empty table gives none;
+    other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    own = numbered_columns(docs)
+    text = F.col(f"c{place_of(docs, text_col)}")
+    rows = own.select(F.col(f"c{place_of(docs, id_col)}").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     table = known_digests(docs, known)
+    telling = F.lit(True)
     if len(known) <= BROADCAST_KNOWN:
-        table = F.broadcast(table)
-    whole = rows.select("doc_id", digest(F.col("_text")).alias("digest"))
-    whole = whole.join(table, whole["digest"] == F.col("_known"), "left").select("doc_id", "digest", F.col("_license").alias("license"))
-    lines = rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.split("_text", "\n", -1)).alias("_line"))
-    lines = lines.select("doc_id", digest(F.col("_line")).alias("_digest"))
-    named = lines.join(table, F.col("_digest") == F.col("_known")).groupBy(F.col("doc_id").alias("_id"))
-    named = named.agg(F.array_join(F.array_sort(F.collect_set("_license")), ",").alias("notices"))
-    return whole.join(named, whole["doc_id"] == named["_id"], "left").select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+        table, telling = F.broadcast(table), _telling(docs, known)
+    whole = rows.select("doc_id", "hash", digest(F.col("text")).alias("digest"))
+    whole = whole.join(table, F.col("digest") == F.col("known"), "left").select("doc_id", "hash", "digest", "license")
+    lines = rows.select("doc_id", "hash", F.explode(F.split("text", "\n", -1)).alias("line")).where(telling)
+    named = lines.select("doc_id", "hash", digest(F.col("line")).alias("digest")).join(table, F.col("digest") == F.col("known"))
+    # Rows of one id and one text have the same notices.
+    named = named.groupBy(F.col("doc_id").alias("id"), F.col("hash").alias("own")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("own"))
+    return whole.join(named, same, "left").select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def oracle() -> str:
@@ -133,7 +199,7 @@ def oracle() -> str:
 
     def form(x: str) -> str:
         copyright_line = COPYRIGHT_LINE.replace("'", "''")
-        words = f"concat(' ', trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '{copyright_line}', ' ', 'g'), '{NOT_A_WORD}', ' ', 'g')), ' ')"
+        words = f"concat(' ', trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '{copyright_line}', ' ', 'g'), '{NOT_A_WORD}', '  ', 'g')), ' ')"
         for other, word in SPELLINGS:
             words = f"replace({words}, ' {other} ', ' {word} ')"
         return f"sha256({words})"
@@ -142,15 +208,17 @@ def oracle() -> str:
     return f"""
 WITH known AS (
   SELECT {form('text')} AS digest, min(license) AS license FROM (VALUES {values}) AS k(license, text) GROUP BY 1
+), rows AS (
+  SELECT row_number() OVER () AS n, doc_id, text FROM documents
 ), whole AS (
-  SELECT doc_id, {form('text')} AS digest FROM documents
+  SELECT n, doc_id, {form('text')} AS digest FROM rows
 ), named AS (
-  SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices
-  FROM (SELECT DISTINCT doc_id, license
-        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l
+  SELECT n, string_agg(license, ',' ORDER BY license) AS notices
+  FROM (SELECT DISTINCT n, license
+        FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM rows) l
         JOIN known ON {form('line')} = known.digest)
-  GROUP BY doc_id
+  GROUP BY n
 )
 SELECT whole.doc_id, whole.digest, known.license, coalesce(notices, '') AS notices
-FROM whole LEFT JOIN known ON whole.digest = known.digest LEFT JOIN named ON whole.doc_id = named.doc_id
+FROM whole LEFT JOIN known ON whole.digest = known.digest LEFT JOIN named ON whole.n = named.n
 """
