@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import as_bytes, checkpoint, small
+from korvid.llm.common import as_bytes, checkpoint, numbered_columns, place_of, small
 from korvid.llm.components import connected_components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -80,9 +80,13 @@ def with_fingerprint(docs: DataFrame, width: int = 3, id_col: str = "doc_id", te
             fps = fingerprints(batch.column(2).to_pylist(), width)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    text = as_bytes(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, text): the text as bytes, empty for null."""
+    text = as_bytes(f"c{place_of(docs, text_col)}")
+    return numbered_columns(docs).select(F.col(f"c{place_of(docs, id_col)}").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -168,8 +172,17 @@ def _divide(values: np.ndarray, labels: np.ndarray, rows: np.ndarray, radius: in
         merge(labels, rows[order], rows[order[inner]])
 
 
-def _compare(values: np.ndarray, labels: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, most: int = 1 << 16) -> None:
-    """Compares all fingerprints of each bucket by blocks of 64 and merges the linked ones."""
+def _compare(values: np.ndarray, labels: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> None:
+    """Merges the classes of all fingerprints of a bucket that are within the radius."""
+    for a, b in hits(values, starts, sizes, radius):
+        merge(labels, a, b)
+
+
+def hits(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, most: int = 1 << 16):
+    """Compares all fingerprints of each bucket by blocks of 64; yields the pairs (rows, rows) within the radius.
+
+    A bucket is `sizes` values from `starts`; a block's own rows come with themselves too.
+    """
     if not len(starts):
         return
     blocks = -(-sizes // 64)
@@ -195,11 +208,11 @@ def _compare(values: np.ndarray, labels: np.ndarray, starts: np.ndarray, sizes:
         rows = np.repeat(np.arange(len(pair_from)), filled[pair_from])
         inside = np.arange(len(rows)) - np.repeat(np.cumsum(filled[pair_from]) - filled[pair_from], filled[pair_from])
         query, block = base[pair_from[rows]] + inside, pair_to[rows]
-        hits = within_radius(values[query], planes[block], lanes[block], radius)
-        some = np.flatnonzero(hits)
-        bits = np.unpackbits(hits[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        found = within_radius(values[query], planes[block], lanes[block], radius)
+        some = np.flatnonzero(found)
+        bits = np.unpackbits(found[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         who, lane = np.nonzero(bits)
-        merge(labels, query[some[who]], base[block[some[who]]] + lane)
+        yield query[some[who]], base[block[some[who]]] + lane
         done = upto
 
 
@@ -290,13 +303,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, width: int = 3, radius: int = 2) -> DataFrame:
     """docs without the rows whose near-duplicate component has a smaller doc_id.
 
-    Rows with a null id stay, and rows that repeat both id and text stay or go together.
+    Without `least` texts are linked by their fingerprints alone, as in near_duplicates; with it,
+    by a Jaccard of their shingle sets of `least` or more, as in shingles.alike. Rows with a null
+    id stay, and rows that repeat both id and text stay or go together. An empty table gives
+    none; other columns pass through, whatever their names.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <> component_id")
-    gone = found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    same = (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(as_bytes(text_col)) == gone["_hash"])
+    if least is None:
+        found = near_duplicates(docs, width, radius, id_col, text_col)
+    else:
+        from korvid.llm import shingles
+
+        found = shingles.alike(docs, width, least, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("hash")).distinct()
+    own = numbered_columns(docs)
+    same = (F.col(f"c{place_of(docs, id_col)}").cast("long") == F.col("gone")) & (F.xxhash64(as_bytes(f"c{place_of(docs, text_col)}")) == F.col("hash"))
     # The ids are built into hash tables: the texts are shuffled once and never sorted.
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    return own.join(gone.hint("shuffle_hash"), same, "left_anti").toDF(*docs.columns)

@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from korvid.llm import shingles
+from korvid.llm import shingles, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,13 +54,28 @@ def test_stage_keeps_what_all_pairs_keep(spark):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_large_buckets_of_copies_of_one_text(spark, monkeypatch, block):
-    monkeypatch.setattr(shingles, "BLOCK", block)
+@pytest.mark.parametrize("wide", [4096, 16])
+def test_large_buckets_of_copies_of_one_text(spark, monkeypatch, wide):
+    monkeypatch.setattr(shingles, "WIDE", wide)
     rng = random.Random(8)
     words = [f"w{i}" for i in range(150)]
     rows = [(i, " ".join(changed_words(rng, words, 2) if i else words), "en", "s", 0) for i in range(100)]
-    assert [r.doc_id for r in shingles.keep_first(spark.createDataFrame(rows, DOCS)).collect()] == brute_kept(rows) == [0]
+    assert [r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, DOCS), width=5, least=0.8).collect()] == brute_kept(rows) == [0]
+
+
+def test_wide_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "WIDE", 8)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for _ in range(8):  # chains: each text is alike to the one before only
+        own = list(words)
+        for _ in range(12):
+            own = changed_words(rng, own, rng.randint(2, 4))
+            rows.append((len(rows), " ".join(own), "en", "s", 0))
+    rng.shuffle(rows)
+    got = simhash.keep_first(spark.createDataFrame(rows, DOCS), width=5, least=0.8)
+    assert sorted(r.doc_id for r in got.collect()) == brute_kept(rows)
 
 
 def test_signatures_estimate_jaccard():
