@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvid.llm import langid, line_dedup, mixing, packing, shingles
-from korvid.llm.common import stored
+from korvid.llm import langid, line_dedup, mixing, packing, simhash
+from korvid.llm.common import stored, unused
 
 #: A document goes if its language can't be told, or is told with less than this probability.
 LEAST_SCORE = 0.3
@@ -15,26 +15,46 @@ MIX_SHARE = 0.75
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(docs, langid.held_out())
-    found = langid.identify(docs, model, into=("_language", "_score"))
-    return found.where((F.col("_language") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Language ID: the rows whose text has a letter and a language told with LEAST_SCORE at least.
+
+    Null and empty texts go, repeated rows stay or go together, an empty table stays empty, and all
+    columns come back as they were, the row's own lang too.
+    """
+    lang, score = unused(docs, "lang_pred", "score")
+    found = langid.identify(docs, langid.fit(docs, langid.held_out()), into=(lang, score))
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs, into=("_lines", "_dropped"))
-    changed = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", changed).select(*docs.columns)
+    """Line dedup: every row, its text without common lines, n_chars following where lines went.
+
+    Null texts come back empty; rows with a null id lose nothing; an empty table stays empty.
+    """
+    lines, gone = unused(docs, "n_lines", "n_dropped")
+    kept = line_dedup.dedup_lines(docs, into=(lines, gone))
+    changed = F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", changed).drop(lines, gone)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingles.keep_first(docs, width=5, least=0.8)
+    """Near-dedup: of each group of texts linked by a five-word Jaccard of 0.8 or more, the least id.
+
+    Rows with a null id stay; texts without words are equal; an empty table stays empty.
+    """
+    return simhash.keep_first(docs, width=5, least=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, into=("_topic", "_tokens", "_probability"), keep=MIX_SHARE).select(*docs.columns)
+    """Mixing: rows drawn for the raked shares of sources, languages and topics, MIX_SHARE of all tokens.
+
+    Null sources and languages are categories; repeated rows are drawn together; an empty table stays empty.
+    """
+    into = unused(docs, "topic", "tokens", "probability")
+    return mixing.mixed(docs, into=tuple(into), keep=MIX_SHARE).drop(*into)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: a row for each piece of each document; null texts have the end's id alone."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
