@@ -2,11 +2,15 @@
 
 A candidate block holds, for each dimension, its vectors in the order of that component: one
 sorted list, read from the top for queries with a positive weight there and from the bottom for
-the others. Lists are only read in sequence. After each stretch of every list, what has been read
-gives a candidate's known sum; the unread components lie between the list's far end and the place
-reached, which gives a lower and an upper bound. A query stops on a block once k lower bounds
-(of this block or of those before it) stand at or above all other upper bounds; the scores of the
-few that are left open are then resolved.
+the others. Lists are only read in sequence. After each stretch of every list, a candidate's read
+components count as they are, and its unread ones lie between the list's far end and the place
+reached, which gives a lower and an upper bound of its score. A query stops on a block once k lower
+bounds (of this block or of those before it) stand at or above all other upper bounds; the scores
+of the few that are left open are then resolved. Numbers too large for exact sums in double
+precision widen the bounds by what rounding can do, and the open scores are resolved as integers.
+
+The bounds of a block are matrix products, two for each stretch, so a query that has to read far
+costs more than a plain scan of the block would; what the lists save are the scores resolved.
 """
 
 from __future__ import annotations
@@ -23,117 +27,114 @@ CELL, QUERIES, BLOCK, BATCH = 65536, 8192, 2048, 1024
 #: Small tables are cut in up to so many cells, to keep all cores busy.
 SPREAD = 64
 #: Shares of the lists after which the bounds are looked at.
-STRETCHES = (0.05, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95)
+STRETCHES = (0.15, 0.4, 0.7, 1.0)
 #: Sums below these are exact in single and double precision.
-EXACT32, EXACT = 2.0**22, 2.0**51
+EXACT32, EXACT = 2.0**21, 2.0**50
 
 
 class Lists:
-    """The sorted lists of one block of candidates."""
+    """The sorted lists of one block of candidates, and what each stretch of them tells about the bounds.
 
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        n = len(vectors)
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.rank = np.empty_like(self.order)
-        np.put_along_axis(self.rank, self.order, np.arange(n)[:, None], axis=0)
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
-
-    def stretch(self, lo: int, hi: int, top: bool) -> np.ndarray:
-        """The components read between places lo and hi of each list; zero elsewhere."""
-        n = len(self.vectors)
-        place = n - 1 - self.rank if top else self.rank
-        return np.where((place >= lo) & (place < hi), self.vectors, self.vectors.dtype.type(0))
-
-    def edge(self, place: int, top: bool) -> np.ndarray:
-        n = len(self.vectors)
-        return self.sorted[max(0, n - place)] if top else self.sorted[min(n, place) - 1]
-
-
-def search_block(lists: Lists, queries: np.ndarray, own: tuple[np.ndarray, np.ndarray], floor: np.ndarray, k: int):
-    """(query, candidate, score) of all that can be among a query's k best.
+    A bound of a query with the weights w (positive parts, then negative parts) is w @ ends for the
+    unread components, put right by w @ read for those that were read.
+    """
 
-    own: pairs of a query and a row that has its id. floor[q]: the k-th best score so far.
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, n = vectors, len(vectors)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
+        lists = np.take_along_axis(vectors, order, axis=0)
+        self.steps = []
+        for share in STRETCHES:
+            at = max(1, math.ceil(n * share))
+            read = rank >= n - at, rank < at
+            ends = [(lists[0], lists[-1]), (lists[n - at], lists[at - 1])]
+            self.steps.append([(np.concatenate(pair), np.hstack([np.where(r, vectors - e, vectors.dtype.type(0)) for r, e in zip(read, pair)])) for pair in ends])
+
+
+def search_block(lists: Lists, weights: np.ndarray, own: tuple[np.ndarray, np.ndarray], floor: np.ndarray, slack: np.ndarray, k: int):
+    """(query, candidate) of all that can be among a query's k best.
+
+    own: pairs of a query and a row that has its id. floor[q]: a score that the k-th best reaches;
+    slack[q]: by how much a bound may be off.
     """
     n = len(lists.vectors)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    barred = np.zeros((len(queries), n), bool)
+    barred = np.zeros((len(weights), n), bool)
     barred[own] = True
-    far = up @ lists.sorted[0] + down @ lists.sorted[-1]
-    known = np.zeros((len(queries), n), queries.dtype)
-    # Weighted far ends and frontiers of the dimensions already read, to be taken off the bounds.
-    read_top, read_low = np.zeros_like(lists.vectors), np.zeros_like(lists.vectors)
-    open_q, at = np.arange(len(queries)), 0
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for share in (*STRETCHES, 1.0):
-        to = max(at + 1, math.ceil(n * share)) if at < n else n
-        for weights, top, mask in ((up, True, read_top), (down, False, read_low)):
-            part = lists.stretch(at, to, top)
-            known[open_q] += weights[open_q] @ part.T
-            place = n - 1 - lists.rank if top else lists.rank
-            mask[(place >= at) & (place < to)] = 1.0
-        at = to
-        u, d, sums = up[open_q], down[open_q], known[open_q]
-        worst = far[open_q][:, None] - (u * lists.sorted[0]) @ read_top.T - (d * lists.sorted[-1]) @ read_low.T
-        hi_edge, lo_edge = lists.edge(at, True), lists.edge(at, False)
-        best = (u @ hi_edge + d @ lo_edge)[:, None] - (u * hi_edge) @ read_top.T - (d * lo_edge) @ read_low.T
-        low, high = sums + worst, sums + best
-        mine = barred[open_q]
-        low[mine] = high[mine] = -np.inf
+    open_q, out = np.arange(len(weights)), []
+    for (far, worst), (edge, best) in lists.steps:
+        w, wide, mine = weights[open_q], slack[open_q][:, None], barred[open_q]
+        low = (w @ far)[:, None] + w @ worst.T - wide
+        high = (w @ edge)[:, None] + w @ best.T + wide
+        low[mine] = -np.inf
         bar = floor[open_q]
         if n >= k:
             bar = np.maximum(bar, np.partition(low, n - k, axis=1)[:, n - k])
-        left = high >= bar[:, None]
-        left &= ~mine
+        left = (high >= bar[:, None]) & ~mine
         # Few enough are left: their scores are resolved, exactly.
-        done = (left.sum(axis=1) <= max(4 * k, n // 64)) | (at >= n)
+        done = (left.sum(axis=1) <= max(4 * k, n // 64)) | (worst is lists.steps[-1][0][1])
         who, cand = np.nonzero(left[done])
         out.append((open_q[done][who], cand))
         open_q = open_q[~done]
         if not len(open_q):
             break
-    q = np.concatenate([x for x, _ in out])
-    c = np.concatenate([x for _, x in out])
-    return q, c, np.einsum("ij,ij->i", queries[q], lists.vectors[c])
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(2))
 
 
-def best_of(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
-    """The k best of each query: higher score first, then the smaller id."""
+def best_of(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of each query's k best: higher score first, then the smaller id."""
     order = np.lexsort((ids, -scores, q))
-    q, ids, scores = q[order], ids[order], scores[order]
-    first = np.searchsorted(q, q, "left")
-    keep = np.arange(len(q)) - first < k
-    return q[keep], ids[keep], scores[keep]
+    first = np.searchsorted(q[order], q[order], "left")
+    return order[np.arange(len(q)) - first < k]
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
     """(row of queries, id, score): the k best of all candidates but those with the query's id."""
-    bound = max(1.0, np.abs(queries).max(initial=0)) * max(1.0, np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
-    if bound >= EXACT:  # whole numbers of any size
-        table = np.array([[int(x) for x in v] for v in vectors], dtype=object)
-        out = []
-        for i, query in enumerate(queries):
-            s = table @ np.array([int(x) for x in query], dtype=object)
-            out += sorted(((i, v, x) for v, x in zip(ids, s) if v != query_ids[i]), key=lambda r: (-r[2], r[1]))[:k]
-        big = 2**63 - 1
-        return tuple(np.array(x) for x in zip(*[(i, v, min(big, max(-big, s))) for i, v, s in out])) if out else (np.zeros(0, int),) * 3
+    largest = [float(np.abs(x).max(initial=0)) for x in (queries, vectors)]
+    bound = max(1.0, largest[0]) * max(1.0, largest[1]) * max(1, queries.shape[1])
+    a, b = queries, vectors
     if bound < EXACT32:
-        queries, vectors = queries.astype(np.float32), vectors.astype(np.float32)
-    q_all, i_all, s_all = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
-    floor = np.full(len(queries), -np.inf)
-    for at in range(0, len(vectors), BLOCK):
-        block, names = vectors[at : at + BLOCK], ids[at : at + BLOCK]
-        spot = np.argsort(names, kind="stable")
-        lo, hi = (np.searchsorted(names[spot], query_ids, side) for side in ("left", "right"))
-        rows = np.repeat(np.arange(len(queries)), hi - lo)
+        a, b = a.astype(np.float32), b.astype(np.float32)
+    elif bound >= EXACT:  # powers of two keep the digits and let no product overflow
+        a, b = (np.ldexp(x, -max(0, math.frexp(m)[1] - 400)) for x, m in zip((a, b), largest))
+    blocks = [Lists(b[at : at + BLOCK]) for at in range(0, len(b), BLOCK)]
+    parts = [_search(a[at : at + BATCH], query_ids[at : at + BATCH], blocks, b, ids, k, bound < EXACT) for at in range(0, len(a), BATCH)]
+    q, row, s = (np.concatenate([np.zeros(0, int), *(p[i] + (n * BATCH if i == 0 else 0) for n, p in enumerate(parts))]) for i in range(3))
+    if bound < EXACT:
+        return q, ids[row], s
+    whole = lambda v: [int(x) for x in v]
+    most, found = 2**63 - 1, {}
+    for i, r in zip(q.tolist(), row.tolist()):
+        found.setdefault(i, []).append((-sum(x * y for x, y in zip(whole(queries[i]), whole(vectors[r]))), int(ids[r])))
+    out = [(i, name, min(most, max(-most, -s))) for i in sorted(found) for s, name in sorted(found[i])[:k]]
+    return tuple(np.array(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
+
+
+def _search(a: np.ndarray, names: np.ndarray, blocks: list[Lists], b: np.ndarray, ids: np.ndarray, k: int, exact: bool):
+    """(query, row of the candidates, score): the k best, or where sums aren't exact all that may be among them."""
+    weights = np.hstack([np.maximum(a, 0), np.minimum(a, 0)])
+    slack = np.zeros(len(a), a.dtype) if exact else np.abs(a) @ np.abs(b).max(axis=0) * 2.0**-40
+    q_all, r_all, s_all = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    floor = np.full(len(a), -np.inf)
+    for n, lists in enumerate(blocks):
+        at = n * BLOCK
+        block_ids = ids[at : at + BLOCK]
+        spot = np.argsort(block_ids, kind="stable")
+        lo, hi = (np.searchsorted(block_ids[spot], names, side) for side in ("left", "right"))
+        rows = np.repeat(np.arange(len(a)), hi - lo)
         own = rows, spot[np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)]
-        q, c, s = search_block(Lists(block), queries, own, floor, k)
-        q_all, i_all, s_all = best_of(np.r_[q_all, q], np.r_[i_all, names[c]], np.r_[s_all, s], k)
-        counts = np.bincount(q_all, minlength=len(queries))
-        ends = np.cumsum(counts) - 1
+        q, c = search_block(lists, weights, own, floor, slack, k)
+        q_all, r_all = np.r_[q_all, q], np.r_[r_all, at + c]
+        s_all = np.r_[s_all, np.einsum("ij,ij->i", a[q], lists.vectors[c])]
+        best = best_of(q_all, ids[r_all], s_all, k)
+        counts = np.bincount(q_all[best], minlength=len(a))
         full = counts >= k
-        floor[full] = s_all[ends[full]]
-    return q_all, i_all, s_all
+        floor[full] = s_all[best][(np.cumsum(counts) - 1)[full]] - slack[full]
+        if not exact:
+            best = np.flatnonzero(s_all + slack[q_all] >= floor[q_all])
+        q_all, r_all, s_all = q_all[best], r_all[best], s_all[best]
+    return q_all, r_all, s_all
 
 
 def exact_top_k(
@@ -143,7 +144,7 @@ def exact_top_k(
 
     Components become floor(scale * x). is_query is a condition on id_col; every row but the
     query's own id is a candidate, ties go to the smaller id. Rows whose id or vector is null,
-    whose vector is empty or holds a null or non-finite component take no part; vectors of
+    whose vector is empty or holds a null component, or one that is not finite times scale, take no part; vectors of
     another length than the query's are no candidates. Repeated rows are candidates of their
     own, and a repeated query is answered once. Scores beyond a long are clamped. An empty
     table gives no rows; other columns are not read.
@@ -152,9 +153,8 @@ def exact_top_k(
     QUERIES rows; a task holds one cell, so neither grows with the table.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull()).where(
-        F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    )
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf"))
+    rows = rows.where(F.col("vec_id").isNotNull()).where(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("m")).first()
     cells = max(1, math.ceil(totals["n"] / CELL), min(SPREAD, math.ceil(totals["n"] / BLOCK)))
@@ -169,12 +169,8 @@ def exact_top_k(
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
         names, ids = queries["vec_id"].to_numpy(np.int64), found["vec_id"].to_numpy(np.int64)
         a, b = (np.floor(scale * np.stack(x["v"].to_numpy()).astype(float)) for x in (queries, found))
-        out = []
-        for at in range(0, len(names), BATCH):
-            own = names[at : at + BATCH]
-            q, near, scores = search(a[at : at + BATCH], own, b, ids, k)
-            out.append(pd.DataFrame({"query_id": own[q], "vec_id": np.asarray(near, np.int64), "score": np.asarray(scores).astype(np.int64)}))
-        return pd.concat(out)
+        q, near, scores = search(a, names, b, ids, k)
+        return pd.DataFrame({"query_id": names[q], "vec_id": np.asarray(near, np.int64), "score": np.asarray(scores).astype(np.int64)})
 
     parts = (
         left.groupBy("dim", "cell", "block")

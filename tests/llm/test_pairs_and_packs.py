@@ -318,6 +318,22 @@ def test_top_k_large_components(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("power", [10, 40, 300, 1000])
+def test_search_with_numbers_of_any_size(monkeypatch, power):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    v = np.floor(np.ldexp(rng.normal(0, 1, (200, 6)), rng.integers(0, power, (200, 6))))
+    v[150:] = v[:50]
+    q, ids, scores = topk.search(v[:9], np.arange(9), v, np.arange(200), 4)
+    big, got, want = 2**63 - 1, {}, {}
+    for i, j in zip(q.tolist(), ids.tolist()):
+        got.setdefault(i, []).append(j)
+    for i in range(9):
+        dots = [(-sum(int(x) * int(y) for x, y in zip(v[i], v[j])), j) for j in range(200) if j != i]
+        want[i] = [j for _, j in sorted(dots)[:4]]
+    assert got == want and all(-big <= int(s) <= big for s in scores)
+
+
 def test_search_stops_early():
     rng = np.random.default_rng(2)
     v = np.floor(rng.normal(0, 40, (300, 8)))
