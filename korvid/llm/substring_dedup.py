@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import as_bytes, checkpoint, small, stored, worker_state
+from korvid.llm.common import as_bytes, checkpoint, numbered_columns, place_of, small, stored, worker_state
 
 #: Bytes that make a head; windows need at least twice as many.
 GRAM = 64
@@ -66,7 +66,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(text: bytes, length: int, gram: int) -> list[np.ndarray]:
-    """pos, lo, hi, head and body (a hash of the whole segment) of the text's anchors."""
+    """pos, lo, hi, head and body (two words, the XXH3 digest of the whole segment) of the text's anchors."""
     found = [_anchors(text[at : at + PIECE + length - 1], length, gram, at) for at in range(0, max(1, len(text) - length + 1), PIECE)]
     return [np.concatenate(x) for x in zip(*found)]
 
@@ -74,7 +74,7 @@ def anchors(text: bytes, length: int, gram: int) -> list[np.ndarray]:
 def _anchors(text: bytes, length: int, gram: int, shift: int) -> list[np.ndarray]:
     n = len(text)
     if n < length:
-        return [np.zeros(0, np.int64)] * 5
+        return [np.zeros(0, np.int64)] * 6
     up, down = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
@@ -91,30 +91,35 @@ def _anchors(text: bytes, length: int, gram: int, shift: int) -> list[np.ndarray
     last = np.r_[first[1:], len(at)] - 1
     pos = at[first]
     lo, hi = pos - last, pos - first
-    body = (sums[last + length] - sums[first]) * down[first]
-    body = _mixed(body + lo.astype(np.uint64) * np.uint64(MIX_A) + hi.astype(np.uint64) * np.uint64(MIX_B))
-    return [pos + shift, lo, hi, heads[pos].view(np.int64), body.view(np.int64)]
+    spots = zip(first.tolist(), (last + length).tolist(), (lo * length + hi).tolist())
+    body = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a:z], seed) for a, z, seed in spots]), np.int64).reshape(-1, 2)
+    return [pos + shift, lo, hi, heads[pos].view(np.int64), body[:, 0], body[:, 1]]
 
 
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of byte rows (width a multiple of 8) and each one's common prefix with the one before.
 
-    Token by token of eight bytes, only among rows that are equal so far.
+    Multikey quicksort over tokens of eight bytes, all parts of a round at once: a part is split by
+    the token of its middle row in smaller, equal and larger rows, and its equal rows go on with
+    the next token.
     """
     words = rows.view(">u8").astype(np.uint64)
-    order, run = np.arange(len(rows)), np.zeros(len(rows), np.int64)
-    act = np.arange(len(rows))
-    for d in range(words.shape[1]):
-        if len(act) < 2:
-            break
-        mine = order[act]
-        mine = mine[np.lexsort((words[mine, d], run[act]))]
-        order[act] = mine
-        token = words[mine, d]
-        new = np.r_[True, (token[1:] != token[:-1]) | (run[act][1:] != run[act][:-1])]
-        run[act] = act[np.flatnonzero(new)][np.cumsum(new) - 1]
+    order = np.arange(len(rows))
+    places, part, depth = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    while len(places):
+        # places: where the unsettled rows stand; part: their parts' numbers, in order; depth: their parts' tokens.
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        sizes = np.diff(np.r_[starts, len(places)])
+        token = words[order[places], depth]
+        pivot = np.repeat(token[starts + sizes // 2], sizes)
+        side = 3 * np.repeat(np.arange(len(starts)), sizes) + 1 + (token > pivot) - (token < pivot)
+        turn = np.argsort(side, kind="stable")
+        order[places], side, depth = order[places][turn], side[turn], depth[turn]
+        depth = depth + (side % 3 == 1)
+        new = np.r_[True, side[1:] != side[:-1]]
         alone = new & np.r_[new[1:], True]
-        act = act[~alone]
+        left = ~alone & (depth < words.shape[1])
+        places, part, depth = places[left], side[left], depth[left]
     common = np.zeros(len(rows), np.int64)
     for at in range(1, len(rows), 4096):
         a, b = rows[order[at - 1 : at + 4095][: len(order[at : at + 4096])]], rows[order[at : at + 4096]]
@@ -213,11 +218,11 @@ def _own_repeats(found: list[np.ndarray], length: int) -> tuple[list[np.ndarray]
     Periodic texts have one class at very many places: it is settled here and counts as one row.
     A mark stands for the bytes pos - hi to pos - lo + length.
     """
-    pos, lo, hi, head, body = found
-    order = np.lexsort((body, head))
-    h, b = head[order], body[order]
-    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (b[1:] != b[:-1])][: len(h)])
-    n = np.diff(np.r_[first, len(h)])
+    pos, lo, hi, head, body, more = found
+    order = np.lexsort((more, body, head))
+    key = np.stack([head, body, more], axis=1)[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)][: len(key)])
+    n = np.diff(np.r_[first, len(key)])
     rows = [*(x[order[first]] for x in found), n]
     many = np.sort(order[np.repeat(n > 1, n)])
     start, end = pos[many] - hi[many], np.maximum.accumulate(pos[many] - lo[many] + length) if len(many) else many
@@ -227,10 +232,10 @@ def _own_repeats(found: list[np.ndarray], length: int) -> tuple[list[np.ndarray]
 
 
 def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
-    """Anchors with head, body and n; rows with n = 0 are marks."""
+    """Anchors with head, body, more (the rest of it) and n; rows with n = 0 are marks."""
 
     def run(batches):
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         for batch in small(batches):
             did, tid, texts = (batch.column(i).to_pylist() for i in range(3))
             made = [_own_repeats(anchors(t, length, gram_of(length)), length) for t in texts]
@@ -239,9 +244,9 @@ def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
             for k, kind in enumerate(kinds):
                 parts = [x for rows, marks in made for x in (rows[k], marks[k] if k < 3 else np.zeros(len(marks[0]), np.int64))]
                 cols.append(pa.array(np.concatenate(parts) if parts else [], kind))
-            yield pa.record_batch(cols, names=[*_SPOT, "head", "body", "n"])
+            yield pa.record_batch(cols, names=[*_SPOT, "head", "body", "more", "n"])
 
-    return docs.select("did", "tid", "text").mapInArrow(run, f"{MARK}, head long, body long, n long")
+    return docs.select("did", "tid", "text").mapInArrow(run, f"{MARK}, head long, body long, more long, n long")
 
 
 def gram_of(length: int) -> int:
@@ -283,9 +288,9 @@ def _repeats(table: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     # Tables that meet a hot key in a join are cut off from their aggregation first, so that the join can be split.
     heads = checkpoint(found.groupBy("head").agg(F.sum("n").alias("n")).where("n > 1").select("head"))
     found = stored(found.join(heads, "head"))  # else the classes would be counted by the join's partitions
-    classes = checkpoint(found.groupBy("head", "body").agg(F.sum("n").alias("n"), one))
-    copies = classes.where("n > 1").select("head", "body")
-    marks.append(found.where("n = 1").join(copies, ["head", "body"]).select(*_SPOT))
+    classes = checkpoint(found.groupBy("head", "body", "more").agg(F.sum("n").alias("n"), one))
+    copies = classes.where("n > 1").select("head", "body", "more")
+    marks.append(found.where("n = 1").join(copies, ["head", "body", "more"]).select(*_SPOT))
 
     # What is left to compare: a member of each class whose head other classes have too.
     sizes = checkpoint(classes.groupBy("head").agg(n.alias("d")).where("d > 1"))
@@ -326,11 +331,12 @@ def drop_repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
 
     A null text counts as empty; texts below the length lose nothing. Rows are documents of
     their own: repeated rows repeat each other, whatever their ids. Null ids are kept. An empty
-    table gives none; other columns are not read. Equality of whole segments is taken from 128
-    bits of hashes, that of single windows from their bytes (but in groups of over GROUP).
+    table gives none; other columns are not read. Equality of whole segments is taken from their
+    128-bit XXH3 digest, that of single windows from their bytes (but in groups of over GROUP).
     """
-    text = as_bytes(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("did"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    own, key = numbered_columns(docs), f"c{place_of(docs, id_col)}"
+    text = as_bytes(f"c{place_of(docs, text_col)}")
+    rows = own.select(F.col(key).cast("long").alias("did"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
     def pack(batches):
         for batch in small(batches):
