@@ -121,6 +121,18 @@ class Files:
             fs.delete(path, False)
         fs.rename(fresh, path)
 
+    def keep_only(self, names: set[str]) -> None:
+        """Deletes all else below the root."""
+        root, fs = self._path("")
+        for status in fs.listStatus(root) if fs.exists(root) else ():
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
+
+    def go_with_the_session(self) -> None:
+        """The root is deleted when the application ends."""
+        path, fs = self._path("")
+        fs.deleteOnExit(path)
+
     def make(self) -> None:
         path, fs = self._path("")
         fs.mkdirs(path)

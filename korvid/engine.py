@@ -14,10 +14,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from korvid.catalog import MEDIA, RID, Catalog, Field, Index, Table, vector_column
+from korvid.catalog import MEDIA, RID, Catalog, Field, Files, Index, Table, vector_column
 from korvid.errors import SQLError, SQLExecutionError, SQLIntegrityError, SQLSemanticError
 from korvid.operators import spatial, vectors
 from korvid.operators import text as text_ops
+from korvid.operators.numbering import numbered
 from korvid.sources import csv as csv_source
 from korvid.sources import media
 from korvid.sql import ast as a
@@ -282,20 +283,55 @@ class Engine:
             self.catalog.compact(table.name)
 
     def _check_keys(self, table: Table, df: DataFrame) -> None:
-        key = table.primary_key
-        if key:
-            twice = df.groupBy(key).count().where("count > 1").take(1)
-            if not twice and table.parts:
-                twice = df.select(key).join(self.catalog.frame(table.name).select(key), key, "left_semi").take(1)
-            if twice:
-                raise SQLIntegrityError(f"key {twice[0][key]!r} of {table.name} exists already")
+        if table.primary_key and (twice := self.repeated_keys(table.name, df).take(1)):
+            raise SQLIntegrityError(f"key {twice[0][0]!r} of {table.name} exists already")
         for f in table.foreign_keys:
-            parent = self.catalog.frame(f["table"]).select(F.col(f["target"]).alias("_key"))
-            if f["table"] == table.name:
-                parent = parent.union(df.select(F.col(f["target"]).alias("_key")))
-            lost = df.select(F.col(f["column"]).alias("_key")).join(parent, "_key", "left_anti").take(1)
-            if lost:
-                raise SQLIntegrityError(f"{f['table']} has no {f['target']} = {lost[0]['_key']!r}")
+            if lost := self.missing_parents(table.name, f["column"], df).take(1):
+                raise SQLIntegrityError(f"{f['table']} has no {f['target']} = {lost[0][0]!r}")
+
+    def repeated_keys(self, name: str, df: DataFrame) -> DataFrame:
+        """(key, n): the primary keys that would stand in the table n times if df's rows came in."""
+        key, table = self.catalog.get(name).primary_key, self.catalog.get(name)
+        fresh = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        if name in self.catalog.tables and table.parts:
+            there = self.catalog.frame(name).select(key, F.lit(1).alias("_there")).join(fresh.select(key), key, "left_semi")
+            fresh = fresh.join(there, key, "left").select(key, (F.col("n") + F.coalesce("_there", F.lit(0))).alias("n"))
+        return fresh.where("n > 1")
+
+    def missing_parents(self, name: str, column: str, df: DataFrame) -> DataFrame:
+        """(key, n): the values of a foreign key in n rows of df for which there would be no parent if they came in."""
+        f = next(f for f in self.catalog.get(name).foreign_keys if f["column"] == column)
+        parent = self.catalog.frame(f["table"]).select(F.col(f["target"]).alias("_key"))
+        if f["table"] == name:
+            parent = parent.union(df.select(F.col(f["target"]).alias("_key")))
+        lost = df.select(F.col(column).alias("_key")).join(parent, "_key", "left_anti")
+        return lost.groupBy(F.col("_key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+    def load(self, name: str, df: DataFrame) -> Result:
+        """INSERT of a DataFrame with the table's columns (media columns as paths), keys checked; all or nothing."""
+        held = self.catalog.snapshot()
+        try:
+            table = self._own(name)
+            for f in table.fields:
+                if f.type in MEDIA:
+                    df = media.extract_column(df, f.type, f.name, vector_column(f.name))
+            n = df.count()
+            given = numbered(df, [F.xxhash64(*[F.col(f"`{f.name}`") for f in table.fields if f.type not in MEDIA]), *[f.name for f in table.fields if f.type != "POINT"]], RID, first=table.next_rid)
+            self._append(table, given.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema()]), n)
+            if self._open is None:
+                self.catalog.save(self.catalog.revision)
+            return Result(message=f"INSERT {n}", affected=n)
+        except PySparkException as e:
+            self.catalog.restore(held)
+            raise SQLExecutionError(str(e).split("\n")[0]) from e
+        except BaseException:
+            self.catalog.restore(held)
+            raise
+
+    def doomed_by(self, text: str) -> dict[str, DataFrame]:
+        """The row ids by table that a DELETE statement would take with its cascades; raises if a key forbids it."""
+        (s,) = parse_script(text)
+        return self._cascade(self._own(s.table.name), self._doomed(s))
 
     # -- rows out --
 
@@ -350,16 +386,32 @@ class Engine:
 
     # -- derived structures, by table version --
 
-    def text_index(self, table: Table, column: str) -> text_ops.TextIndex:
+    def text_index(self, table: Table, column: str) -> text_ops.StoredIndex:
+        """The column's stored index: written at first use, then given the table's new parts only.
+
+        It names the parts that it covers, so it is found again by a later session; where parts have
+        gone (DELETE, ROLLBACK, compaction) it is written anew.
+        """
         index = next((i for i in table.indexes if i.column == column and i.method == "SPIMI"), None)
         if index is None:
             raise SQLSemanticError(f"MATCH needs a SPIMI index on {table.name}.{column}")
-        language = index.options.get("language")
-        key = (table.name, table.version, column, "SPIMI", language)
+        language, simple = index.options.get("language"), index.options.get("analysis") == "simple"
+        build = lambda df: text_ops.build_index(df, RID, f"`{column}`", language, simple)
+        key = (table.name, table.version, tuple(table.parts), column, "SPIMI", language)
         if key not in self._derived:
             self._forget(table)
-            made = text_ops.build_index(self.catalog.frame(table.name), RID, f"`{column}`", language, simple=index.options.get("analysis") == "simple")
-            self._derived[key] = made.cached()
+            own = table.name in self.catalog.tables
+            path = f"{self.catalog.root}/{table.name}/text-{index.name}" + ("" if own else f"-{uuid.uuid4().hex}")
+            held = text_ops.open_index(self.spark, path) if own else None
+            if held is None or not set(held.tag) <= set(table.parts):
+                held = text_ops.write_index(build(self.catalog.frame(table.name)), path, table.parts)
+            elif fresh := [p for p in table.parts if p not in held.tag]:
+                held.add(build(self.spark.read.schema(table.schema()).parquet(*fresh)))
+                held.tag = list(table.parts)
+                held.save()
+            if not own:
+                Files(self.spark, path).go_with_the_session()
+            self._derived[key] = held
         return self._derived[key]
 
     def vector_search(self, table: Table, s: a.SimilarTo) -> tuple[DataFrame, dict[str, str]]:
@@ -385,27 +437,39 @@ class Engine:
         rows = frame.select(RID, F.col(f"`{stored}`").alias("v"))
         details = {"Vector Cond": f"similar_to({index.column}, '{s.path}', k={s.k})", "Index": index.name, "Metric": metric}
         if s.method == "IVF":
-            key = (table.name, table.version, index.column, "IVF", metric)
+            key = (table.name, table.version, tuple(table.parts), index.column, "IVF", metric)
             if key not in self._derived:
                 self._forget(table)
-                built = vectors.build_ivf(rows, "v", metric)
-                built.rows = built.rows.cache()
-                self._derived[key] = built
+                self._derived[key] = self._lists(table, index, frame, rows, stored, metric)
             ivf = self._derived[key]
-            details["Search"] = f"{ivf.lists} lists"
+            details["Search"] = f"{len(ivf.probed(query, s.k))} of {ivf.lists} lists"
             found = ivf.search(query, s.k, tie=RID)
         else:
             details["Search"] = "exact (no graph is kept)"
             found = vectors.top_k(rows, "v", query, s.k, metric, RID)
         return found.withColumnRenamed("similarity", SIMILARITY), details
 
+    def _lists(self, table: Table, index: Index, frame: DataFrame, rows: DataFrame, stored: str, metric: str) -> vectors.IvfIndex:
+        """The column's inverted lists, written at first use; new parts go into the lists that are there."""
+        own = table.name in self.catalog.tables
+        path = f"{self.catalog.root}/{table.name}/lists-{index.name}" + ("" if own else f"-{uuid.uuid4().hex}")
+        held = vectors.read_ivf(self.spark, path) if own else None
+        if held is not None and held.tag == table.parts:
+            return held
+        if held is not None and set(held.tag) < set(table.parts) and len(table.parts) <= MOST_PARTS:
+            fresh = self.spark.read.schema(table.schema()).parquet(*[p for p in table.parts if p not in held.tag])
+            made = held.append(fresh.select(RID, F.col(f"`{stored}`").alias("v")))
+        else:
+            made = vectors.build_ivf(rows, "v", metric)
+        made.tag = list(table.parts)
+        if not own:
+            Files(self.spark, path).go_with_the_session()
+        return made.write(path)
+
     def _forget(self, table: Table) -> None:
         """Drops what was derived from older versions."""
         for key in [k for k in self._derived if k[0] == table.name and k[1] != table.version]:
-            old = self._derived.pop(key)
-            for df in (getattr(old, n, None) for n in ("base", "rows")):
-                if df is not None:
-                    df.unpersist()
+            self._derived.pop(key)
 
     # -- maps --
 
@@ -433,7 +497,8 @@ class Engine:
                     shapes.append({"kind": "circle", "lat": centre.lat, "lon": centre.lon, "radius": e.right.value})
         centres = [x for o in q.order_by for d in find(o.expr, a.Distance) for x in (d.left, d.right) if isinstance(x, a.Point)]
         shapes += [{"kind": "centre", "lat": c.lat, "lon": c.lon} for c in centres]
-        return {"points": [tuple(r) for r in points.orderBy("id").limit(limit).collect()], "ids": ids, "shapes": shapes, "view": view}
+        shown_points = [tuple(r) for r in points.orderBy("id").limit(limit + 1).collect()]
+        return {"points": shown_points[:limit], "more_points": len(shown_points) > limit, "ids": ids, "shapes": shapes, "view": view}
 
     # -- EXPLAIN --
 

@@ -86,3 +86,17 @@ def analysed(text: Column, language: str, spark: SparkSession) -> Column:
         return texts.map(lambda t: analyse(t, language, stops, known) if t is not None else [])
 
     return run(text)
+
+
+#: Letters with the accents of Western European languages, and the letters without them.
+ACCENTED, BARE = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+def without_accents(text: Column) -> Column:
+    """Lower-cased, without accents, composed or not."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}", ""), ACCENTED, BARE)
+
+
+def evaluated(expression: Column):
+    """The value of an expression without columns."""
+    return SparkSession.getActiveSession().range(1).select(expression).first()[0]

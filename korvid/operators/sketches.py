@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,16 @@ K = 1024
 def kmv_estimate(df: DataFrame, *columns: Column | str, k: int = K) -> DataFrame:
     """(estimate): exact below k distinct values, else (k - 1) over the k-th smallest hash as a share.
 
-    The hashes are made distinct and cut to k per partition before they meet, so what is
-    gathered never exceeds k numbers.
+    Each task keeps its k smallest different hashes, so no more than k numbers of a task are shuffled.
     """
-    h = F.xxhash64(*columns)
-    low = df.select(h.alias("h")).distinct().orderBy("h").limit(k)
+
+    def smallest(batches):
+        held = np.zeros(0, np.int64)
+        for batch in batches:
+            held = np.unique(np.r_[held, batch.column(0).to_numpy()])[:k]
+        yield pa.record_batch([pa.array(held)], names=["h"])
+
+    low = df.select(F.xxhash64(*columns).alias("h")).mapInArrow(smallest, "h long").distinct().orderBy("h").limit(k)
     row = low.agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("last"))
     share = (F.col("last").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     return row.select(F.when(F.col("n") < k, F.col("n").cast("double")).otherwise(F.lit(k - 1.0) / share).alias("estimate"))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korvid.catalog import Files
 from korvid.errors import SQLExecutionError
 
 METRICS = ("euclidean", "cosine", "dot_product")
 SMALLEST_TRAINING = 16
+#: Inverted lists are probed until this share of the sampled rows' true neighbours is found; what searches reach is measured
+#: by a query of its own, against 0.9.
+AIMED_RECALL, PROBE_SAMPLE = 0.96, 256
 
 
 def _sum(values: Column) -> Column:
@@ -185,13 +191,18 @@ def assign(df: DataFrame, column: str, centres: np.ndarray, metric: str = "eucli
 
 @dataclass
 class IvfIndex:
-    """Inverted lists: the rows with their list, partitioned by it when written, and the centroids."""
+    """Inverted lists: the rows with their list, sorted by it when written; the centroids and the lists' sizes.
+
+    probes: how many lists a search looks into, chosen at the build for a recall of AIMED_RECALL.
+    """
 
     rows: DataFrame
     column: str
     centres: np.ndarray
     metric: str
-    size: int
+    sizes: list[int]
+    probes: int
+    tag: list[str] = field(default_factory=list)
 
     @property
     def lists(self) -> int:
@@ -200,41 +211,82 @@ class IvfIndex:
     def probe_order(self, query) -> list[int]:
         return np.argsort(-_scores(np.asarray(query, float)[None], self.centres, self.metric)[0], kind="stable").tolist()
 
-    def search(self, query, k: int, probes: int | None = None, tie: str = "id") -> DataFrame:
-        """Looks into the nearest lists, twice as many each time until k rows are found."""
-        probes = probes or max(1, round(math.sqrt(self.lists)))
+    def probed(self, query, k: int, probes: int | None = None) -> list[int]:
+        """The nearest lists, and more of them until they hold k rows: known from their sizes, no row is read."""
         order = self.probe_order(query)
-        while True:
-            near = self.rows.where(F.col("list_id").isin(*order[:probes])).drop("list_id")
-            if probes >= self.lists:
-                return top_k(near, self.column, query, k, self.metric, tie)
-            found = top_k(near, self.column, query, k, self.metric, tie)
-            if found.count() >= min(k, self.size):
-                return found
-            probes *= 2
-
-    def write(self, path: str) -> None:
-        self.rows.write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows")
-        spark = self.rows.sparkSession
-        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centres)], "list_id int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
-
+        n = min(self.lists, probes or self.probes)
+        while n < self.lists and sum(self.sizes[i] for i in order[:n]) < k:
+            n += 1
+        return order[:n]
 
-def read_ivf(spark, path: str, column: str, metric: str) -> IvfIndex:
-    rows = spark.read.parquet(f"{path}/rows")
-    centres = [r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("list_id").collect()]
-    return IvfIndex(rows, column, np.array(centres), metric, rows.count())
+    def search(self, query, k: int, probes: int | None = None, tie: str = "id") -> DataFrame:
+        near = self.rows.where(F.col("list_id").isin(*self.probed(query, k, probes))).drop("list_id")
+        return top_k(near, self.column, query, k, self.metric, tie)
+
+    def append(self, more: DataFrame) -> "IvfIndex":
+        """With further rows, put into the lists as they are."""
+        fresh = assign(more, self.column, self.centres, self.metric)
+        sizes = list(self.sizes)
+        for r in fresh.groupBy("list_id").count().collect():
+            sizes[r["list_id"]] += r["count"]
+        return IvfIndex(self.rows.unionByName(fresh), self.column, self.centres, self.metric, sizes, self.probes, self.tag)
+
+    def write(self, path: str) -> "IvfIndex":
+        """Rows sorted by list, so that a search reads the row groups of its lists; gives the index as it is read back."""
+        spark, name = self.rows.sparkSession, uuid.uuid4().hex
+        dealt = self.rows.repartitionByRange("list_id").sortWithinPartitions("list_id")
+        dealt.write.option("parquet.block.size", 1 << 22).parquet(f"{path}/{name}/rows")
+        lists = [(i, c.tolist(), int(n)) for i, (c, n) in enumerate(zip(self.centres, self.sizes))]
+        spark.createDataFrame(lists, "list_id int, centre array<double>, size long").write.parquet(f"{path}/{name}/lists")
+        files = Files(spark, path)
+        files.make()
+        files.replace("index.json", json.dumps({"name": name, "column": self.column, "metric": self.metric, "probes": self.probes, "tag": self.tag}))
+        return read_ivf(spark, path)
+
+
+def read_ivf(spark, path: str) -> IvfIndex | None:
+    """The index at the path; None if there is none."""
+    text = Files(spark, path).read("index.json")
+    if text is None:
+        return None
+    held = json.loads(text)
+    lists = spark.read.parquet(f"{path}/{held['name']}/lists").orderBy("list_id").collect()
+    rows = spark.read.parquet(f"{path}/{held['name']}/rows")
+    return IvfIndex(rows, held["column"], np.array([r["centre"] for r in lists]), held["metric"], [r["size"] for r in lists], held["probes"], held["tag"])
 
 
 def build_ivf(df: DataFrame, column: str, metric: str = "euclidean", lists: int | None = None) -> IvfIndex:
-    """Below SMALLEST_TRAINING rows there is one list, searched exactly."""
+    """Below SMALLEST_TRAINING rows there is one list, searched exactly.
+
+    The probes are measured: for PROBE_SAMPLE rows (by hash), in which lists their true neighbours lie.
+    """
     usable = df.where(F.col(column).isNotNull())
+    if metric == "cosine":
+        usable = usable.where(norm(F.col(column)) > 0)
     n = usable.count()
     if n < SMALLEST_TRAINING:
         dim = next((len(r[0]) for r in usable.select(column).take(1)), 1)
         centres = np.ones((1, dim))
     else:
         centres = kmeans(usable, column, lists or max(1, round(math.sqrt(n))), metric)
-    return IvfIndex(assign(usable, column, centres, metric), column, centres, metric, n)
+    rows = assign(usable, column, centres, metric)
+    sizes = [0] * len(centres)
+    for r in rows.groupBy("list_id").count().collect():
+        sizes[r["list_id"]] = r["count"]
+    found = IvfIndex(rows, column, centres, metric, sizes, len(centres))
+    if len(centres) > 1:
+        found.probes = measured_probes(found)
+    return found
+
+
+def measured_probes(ivf: IvfIndex, k: int = 10) -> int:
+    """The least number of lists that hold AIMED_RECALL of the sampled rows' k true neighbours."""
+    asked = ivf.rows.select(F.col(ivf.column).alias("q")).orderBy(F.xxhash64("q")).limit(PROBE_SAMPLE).collect()
+    queries = {i: r["q"] for i, r in enumerate(asked)}
+    near = top_k_batch(ivf.rows, ivf.column, queries, k, ivf.metric, "list_id").select("query_id", "id").collect()
+    place = {i: {x: nth for nth, x in enumerate(ivf.probe_order(q))} for i, q in queries.items()}
+    nth = sorted(place[r["query_id"]][r["id"]] for r in near)
+    return 1 + nth[max(0, math.ceil(AIMED_RECALL * len(nth)) - 1)] if nth else ivf.lists
 
 
 # -- Bags of visual words -------------------------------------------------------------------------

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvid.apps import passages
-from korvid.catalog import Index
+from korvid.catalog import Files, Index
 from korvid.operators import text as text_ops
 from korvid.plans.registry import register, session
 from korvid.session import table
@@ -30,19 +34,15 @@ tfidf AS (SELECT doc_id, round(sum(w * (1 + log10(tf))) / ((SELECT sqrt(sum(w *
           FROM p JOIN q USING (term) JOIN d USING (doc_id) GROUP BY 1)"""
 
 
-_HELD: dict[tuple[str, str], text_ops.TextIndex] = {}
-
-
-def index(spark: SparkSession, sf_dir: str) -> text_ops.TextIndex:
-    """The corpus' index, kept for the next query over the same corpus."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _HELD:
-        for old in _HELD.values():
-            if key[0] == next(iter(_HELD))[0]:
-                old.base.unpersist()
-        _HELD.clear()
-        _HELD[key] = text_ops.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", simple=True).cached()
-    return _HELD[key]
+def index(spark: SparkSession, sf_dir: str) -> text_ops.StoredIndex:
+    """The corpus' stored index: written at the application's first query over the corpus, read by all."""
+    name = hashlib.sha256(f"{spark.sparkContext.applicationId} {sf_dir}".encode()).hexdigest()[:16]
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/korvid-text-{name}"
+    held = text_ops.open_index(spark, path)
+    if held is None:
+        Files(spark, path).go_with_the_session()
+        held = text_ops.write_index(text_ops.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", simple=True), path)
+    return held
 
 
 def rounded(scored: DataFrame) -> DataFrame:
@@ -50,9 +50,9 @@ def rounded(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.round("score", 9).alias("score"))
 
 
-@register("text_tokens_df", f"WITH {POSTINGS} SELECT term, df FROM df WHERE df > 1")
+@register("text_tokens_df", f"WITH {POSTINGS} SELECT term, df FROM df")
 def text_tokens_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_ops.all_terms(index(spark, sf_dir)).where("df > 1")
+    return text_ops.all_terms(index(spark, sf_dir))
 
 
 @register("text_doc_stats", f"WITH {POSTINGS} SELECT doc_id, length, round(norm, 6) AS norm FROM d")
@@ -81,18 +81,26 @@ def text_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(candidates, pages)], "candidates long, pages long")
 
 
-@register("text_append", f"WITH {POSTINGS} SELECT term, df FROM df WHERE df > 1")
+@register("text_append", f"WITH {POSTINGS} SELECT term, df FROM df")
 def text_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the corpus indexed first, the other half appended."""
+    """Half of the corpus indexed first, the other half appended as a segment, both then consolidated."""
     docs = table(spark, sf_dir, "documents")
-    first = text_ops.build_index(docs.where("doc_id % 2 = 0"), "doc_id", "text", simple=True)
-    return text_ops.all_terms(text_ops.append(first, docs.where("doc_id % 2 <> 0"), "doc_id", "text", simple=True)).where("df > 1")
+    made = lambda half: text_ops.build_index(docs.where(half), "doc_id", "text", simple=True)
+    return text_ops.all_terms(_written(spark, made("doc_id % 2 = 0")).add(made("doc_id % 2 <> 0")).consolidate())
+
+
+def _written(spark: SparkSession, made: text_ops.TextIndex) -> text_ops.StoredIndex:
+    """An index of its own, which goes with the session."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/korvid-text-{uuid.uuid4().hex}"
+    Files(spark, path).go_with_the_session()
+    return text_ops.write_index(made, path)
 
 
-@register("text_remove", f"WITH {POSTINGS} SELECT term, count(*) AS df FROM p JOIN documents USING (doc_id) WHERE lang <> 'fr' GROUP BY 1 HAVING count(*) > 1")
+@register("text_remove", f"WITH {POSTINGS} SELECT term, count(*) AS df FROM p JOIN documents USING (doc_id) WHERE lang <> 'fr' GROUP BY 1")
 def text_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id")
-    return text_ops.all_terms(text_ops.remove(index(spark, sf_dir), gone)).where("df > 1")
+    held = index(spark, sf_dir)
+    return text_ops.all_terms(dataclasses.replace(held).remove(gone))  # the manifest stays as it is
 
 
 @register("text_match_filtered", f"WITH {BM25} SELECT doc_id, lang, score FROM bm25 JOIN documents USING (doc_id) WHERE lang <> 'fr' ORDER BY score DESC, doc_id")

@@ -106,8 +106,8 @@ def _is_float(v: str) -> bool:
     return bool(re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", v.strip()))
 
 
-def infer(path: str, taken: set[str] = frozenset(), sample_rows: int = 10_000, encoding: str = "utf-8-sig") -> tuple[str, str]:
-    """(CREATE TABLE, COPY) for a file, from its first rows.
+def infer(path: str, taken: set[str] = frozenset(), sample_rows: int | None = None, encoding: str = "utf-8-sig") -> tuple[str, str]:
+    """(CREATE TABLE, COPY) for a file, from all of its rows, or from the first sample_rows.
 
     Types by the first that fits all values: a media path, INT, FLOAT, TEXT above 255 bytes, else
     VARCHAR rounded up to tens. The first INT column is the key if its values differ.
@@ -115,7 +115,7 @@ def infer(path: str, taken: set[str] = frozenset(), sample_rows: int = 10_000, e
     with open(path, encoding=encoding, newline="") as f:
         delimiter = sniff(f.read(64 * 1024))
         f.seek(0)
-        rows = [r for r in itertools.islice(csv.reader(f, delimiter=delimiter), sample_rows + 1) if r]
+        rows = [r for r in itertools.islice(csv.reader(f, delimiter=delimiter), None if sample_rows is None else sample_rows + 1) if r]
     if not rows:
         raise SQLExecutionError(f"{path} is empty")
     header = not any(_is_float(v) for v in rows[0]) and (len(rows) == 1 or len(set(rows[0])) == len(rows[0]))

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korvid.apps.recommend import PLATFORMS, platforms
+from korvid.operators.numbering import numbered
 
-LEAST_WORDS = 8
+LEAST_WORDS = 15
 ROOT = "Video Games"
 LEGACY = f"{ROOT} > Legacy Systems"
 #: The category path of each platform.
@@ -37,8 +38,9 @@ ROUTES = {
     "sega": f"{LEGACY} > Sega Systems",
     "mac": f"{ROOT} > Mac",
 }
-CONSOLES = ("Nintendo Switch", "PlayStation 5", "PlayStation 4", "Xbox Series X & S", "Xbox One", "PC", "Mac", "Virtual Reality", "Legacy Systems")
-CURRENT = ("switch", "ps5", "ps4", "xbox series", "xbox one", "pc", "vr")
+#: The second steps of those paths, and the platforms that have a path of two steps (but one that is no console).
+CONSOLES = tuple(dict.fromkeys(path.split(" > ")[1] for path in ROUTES.values()))
+CURRENT = tuple(name for name, path in ROUTES.items() if path.count(" > ") == 1 and name != "mac")
 #: What marks records of other goods.
 OTHER_CATEGORIES = ("Books", "Buy a Kindle", "Movies & TV", "Digital Music", "Grocery")
 OTHER_FORMATS = ("Blu-ray", "DVD", "Paperback", "Hardcover", "Mass Market Paperback", "Spiral-bound", "Leather Bound", "Board book", "Kindle Edition", "Library Binding", "Audible Audiobook")
@@ -158,9 +160,8 @@ def products(raw: DataFrame, limit: int | None = None, excluded: list[str] = ())
     words = F.size(F.split("description", r"\s+"))
     rows = rows.where((F.col("asin") != "") & (F.col("title") != "") & F.col("price").isNotNull() & F.col("image_url").isNotNull() & (words >= LEAST_WORDS))
     once = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("asin").orderBy(F.desc("reviews"), "title"))).where("_nth = 1").drop("_nth")
-    top = once.orderBy(F.desc("reviews"), "asin")
-    top = top.limit(limit) if limit is not None else top
-    return top.select(F.row_number().over(Window.orderBy(F.desc("reviews"), "asin")).alias("id"), "*")
+    top = once.orderBy(F.desc("reviews"), "asin").limit(limit) if limit is not None else once
+    return numbered(top, [-F.col("reviews"), "asin"], "id")
 
 
 def clean_purchases(reviews: DataFrame, least: int = 2, most: int = 20) -> DataFrame:
@@ -175,20 +176,6 @@ def clean_purchases(reviews: DataFrame, least: int = 2, most: int = 20) -> DataF
     return numbered(counted, ["ts", "user", "product"], "id")
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with consecutive numbers from 1 in the order, without one task for all rows: a range
-    partitioning, counts by partition, and a row number inside each."""
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).cache()
-    sizes = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())
-    first, starts = 0, {}
-    for part, n in sizes:
-        starts[part] = first
-        first += n
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_part")) if starts else F.lit(0)
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn(name, (base + nth).cast("long")).drop("_part").select(name, *df.columns)
-
-
 def stores(raw: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Map elements (one row with an array `elements`) -> stores inside (south, west, north, east).
 
@@ -210,8 +197,7 @@ def stores(raw: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     )
     south, west, north, east = box
     rows = rows.where((F.col("name") != "") & F.col("place.lat").between(south, north) & F.col("place.lon").between(west, east))
-    nth = F.row_number().over(Window.orderBy("_kind", "_id"))
-    return rows.select(nth.alias("id"), "osm_id", "name", "kind", "district", "address", "place")
+    return numbered(rows, ["_kind", "_id"], "id").drop("_kind", "_id")
 
 
 ELEMENTS = "elements array<struct<type string, id long, lat double, lon double, center struct<lat double, lon double>, tags map<string,string>>>"

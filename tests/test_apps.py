@@ -51,7 +51,7 @@ def test_platforms_and_types(spark):
     assert [(r.p, r.k) for r in df.collect()] == [(["switch"], None), (["pc"], "teclado"), (["ps5", "ps4"], "audífonos"), (["wii u"], "juego"), ([], None)]
 
 
-def test_query_expansion():
+def test_query_expansion(spark):
     assert recommend.expand_query("mandos inalámbricos xbox") == "mandos inalámbricos xbox controller gamepad wireless"
     assert recommend.expand_query("auriculares") == "auriculares headset headphones" and recommend.expand_query("zzz") == "zzz" and recommend.expand_query(None) == ""
 
@@ -132,7 +132,7 @@ def test_assistant(spark):
 
 def test_products_are_cleaned(spark, tmp_path):
     base = {
-        "title": "A <b>pad</b> &amp; more", "description": ["one two three four five", ""], "features": ["six seven eight"], "price": "$1,299.996", "average_rating": 4.5,
+        "title": "A <b>pad</b> &amp; more", "description": ["one two three four five six seven eight nine ten", ""], "features": ["eleven twelve thirteen fourteen fifteen"], "price": "$1,299.996", "average_rating": 4.5,
         "images": [{"variant": "PT01", "large": "http://b"}, {"variant": "MAIN", "large": None, "hi_res": "http://a", "thumb": None}], "main_category": "Video Games",
         "categories": ["Video Games", "PC", "Accessories"], "store": "S", "details": {"x": "y"},
     }

@@ -153,6 +153,38 @@ def test_index_changes_equal_a_rebuild(spark):
     assert {r.doc_id for r in text_ops.bm25(less, "fox").collect()} == {0}
 
 
+@pytest.mark.parametrize("ranking", ["BM25", "TF_IDF"])
+@pytest.mark.parametrize("query", ["fox", "quick quick dogs", "nothing here", ""])
+def test_stored_rankings(spark, tmp_path, ranking, query):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, t string")
+    made = lambda df: text_ops.build_index(df, "id", "t")
+    text_ops.write_index(made(docs.where("id < 3")), str(tmp_path / "i"))
+    text_ops.open_index(spark, str(tmp_path / "i")).add(made(docs.where("id >= 3"))).save()
+    held = text_ops.open_index(spark, str(tmp_path / "i"))
+    assert len(held.segments) == 2
+    for index in (held, text_ops.open_index(spark, str(tmp_path / "i")).consolidate()):
+        got = {r.doc_id: r.score for r in text_ops.RANKINGS[ranking](index, query).collect()}
+        assert got == pytest.approx(naive(query, ranking))
+        want = {i for i, t in enumerate(TEXTS) if query and set(analysis.tokenize(query)) <= set(analysis.tokenize(t or ""))}
+        assert {r.doc_id for r in text_ops.boolean_and(index, query).collect()} == want
+        assert {tuple(r) for r in index.dictionary().collect()} == {tuple(r) for r in made(docs).dictionary().collect()}
+
+
+def test_stored_index_reads_its_terms_and_forgets_documents(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, t string")
+    held = text_ops.write_index(text_ops.build_index(docs, "id", "t"), str(tmp_path / "i"))
+    plan = text_ops.bm25(held, "fox dogs")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [dogs,fox])" in plan and "Join" not in plan
+    held.remove(spark.createDataFrame([(1,), (5,)], "doc_id long")).save()
+    less = text_ops.build_index(docs.where("id NOT IN (1, 5)"), "id", "t")
+    for index in (text_ops.open_index(spark, str(tmp_path / "i")), held.consolidate().save()):
+        assert {r.doc_id: r.score for r in text_ops.bm25(index, "fox dogs").collect()} == pytest.approx({r.doc_id: r.score for r in text_ops.bm25(less, "fox dogs").collect()})
+        assert {tuple(r) for r in index.dictionary().collect()} == {tuple(r) for r in less.dictionary().collect()}
+    held.vacuum()
+    assert {x.name for x in (tmp_path / "i").iterdir() if not x.name.startswith(".")} == {"index.json", held.segments[0]["name"]}
+    assert {tuple(r) for r in text_ops.open_index(spark, str(tmp_path / "i")).postings.collect()} == {tuple(r) for r in less.postings.collect()}
+
+
 def test_streamed_postings(spark, tmp_path):
     from korvid.streaming.postings import follow
 
@@ -160,7 +192,9 @@ def test_streamed_postings(spark, tmp_path):
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     follow(stream, "id", "t", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out/postings")).select("term", "doc_id", "tf").collect()}
+    held = text_ops.open_index(spark, str(tmp_path / "out"))
+    assert len(held.segments) == len(list((tmp_path / "in").glob("*.parquet")))
+    got = {tuple(r) for r in held.postings.collect()}
     assert got == {tuple(r) for r in text_ops.build_index(docs, "id", "t", simple=True).postings.collect()}
 
 
@@ -220,7 +254,7 @@ def test_ivf_persists(spark, cloud, tmp_path):
     _, df = cloud
     ivf = vectors.build_ivf(df, "v", "dot_product")
     ivf.write(str(tmp_path))
-    again = vectors.read_ivf(spark, str(tmp_path), "v", "dot_product")
+    again = vectors.read_ivf(spark, str(tmp_path))
     q = [1.0] * 12
     assert [r.id for r in again.search(q, 7, 17).collect()] == [r.id for r in ivf.search(q, 7, 17).collect()]
 
