@@ -59,7 +59,8 @@ class Result:
             raise SQLExecutionError(str(e).split("\n")[0]) from e
 
     def json_lines(self) -> DataFrame:
-        return self.df.toJSON()
+        """(value): each row as a JSON object; nulls are left out."""
+        return self.df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in self.df.columns])).alias("value"))
 
     def to_dict(self) -> dict:
         """Rows for JSON, points as lat and lon."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 import pandas as pd
@@ -80,22 +81,73 @@ class Graph:
         return self._search(q, at, max(k, width), self.layers[0])[:k]
 
 
-def approximate_top_k(df: DataFrame, column: str, queries: DataFrame, k: int, metric: str = "euclidean", tie: str = "id", shard: int = 5000, width: int = 50) -> DataFrame:
-    """(query_id, id, similarity, rank) for queries(query_id, q): a graph over every shard of about
-    `shard` rows, all searched; each query goes to every shard."""
+    def to_bytes(self) -> bytes:
+        """Vectors and layers, for from_bytes."""
+        parts = {"v": self.v, "metric": np.array(self.metric), "sizes": np.array([self.links, self.build, self.entry, len(self.layers)])}
+        for depth, layer in enumerate(self.layers):
+            nodes = sorted(layer)
+            parts[f"nodes{depth}"] = np.array(nodes, np.int32)
+            parts[f"ends{depth}"] = np.cumsum([0, *(len(layer[n]) for n in nodes)]).astype(np.int32)
+            parts[f"links{depth}"] = np.array([x for n in nodes for x in layer[n]], np.int32)
+        out = io.BytesIO()
+        np.savez(out, **parts)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, content: bytes) -> "Graph":
+        held = np.load(io.BytesIO(content))
+        graph = cls.__new__(cls)
+        graph.v, graph.metric = held["v"], str(held["metric"])
+        graph.links, graph.build, graph.entry, depth = (int(x) for x in held["sizes"])
+        graph.layers = []
+        for d in range(depth):
+            ends, links = held[f"ends{d}"], held[f"links{d}"].tolist()
+            graph.layers.append({n: links[a:z] for n, a, z in zip(held[f"nodes{d}"].tolist(), ends, ends[1:])})
+        return graph
+
+
+def build_graphs(df: DataFrame, column: str, metric: str = "euclidean", tie: str = "id", shard: int = 5000) -> DataFrame:
+    """(shard, ids, graph): a graph over every shard of about `shard` rows, to be written and searched again and again."""
     shards = max(1, round(df.count() / shard))
-    left = queries.select(F.col("query_id").cast("long").alias("query_id"), "q", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     rows = df.where(F.col(column).isNotNull()).select(F.col(tie).cast("long").alias("id"), F.col(column).alias("v"), F.pmod(F.xxhash64(tie), F.lit(shards)).cast("int").alias("shard"))
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        made = Graph(np.stack(pdf["v"].to_numpy()).astype(float), metric)
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [pdf["id"].to_numpy()], "graph": [made.to_bytes()]})
+
+    return rows.groupBy("shard").applyInPandas(run, "shard int, ids array<long>, graph binary")
+
+
+def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, width: int = 50, without: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank) for queries(query_id, q): every graph is searched for every query.
+
+    without(id): rows deleted since the graphs were built; each graph then gives as many more as it
+    has lost, so none of the k that are left is missed for their sake.
+    """
+    last = graphs.agg(F.max("shard")).first()[0] or 0
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"))
+    right = graphs.select("shard", "ids", "graph")
+    if without is not None:
+        lost = graphs.select("shard", F.explode("ids").alias("id")).join(without.select(F.col("id").cast("long")), "id").groupBy("shard").agg(F.collect_set("id").alias("lost"))
+        right = right.join(lost, "shard", "left")
+    else:
+        right = right.withColumn("lost", F.lit(None).cast("array<long>"))
+
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(a) and len(b):
-            b = b.sort_values("id")
-            graph, ids = Graph(np.stack(b["v"].to_numpy()).astype(float), metric), b["id"].to_numpy()
+        for ids, content, lost in zip(b["ids"], b["graph"], b["lost"]):
+            graph, gone = Graph.from_bytes(content), set(() if lost is None else lost)
             for n, q in zip(a["query_id"], a["q"]):
-                out += [(n, ids[x], s) for s, x in graph.search(np.asarray(q, float), k, max(width, k))]
+                found = [(n, ids[x], s) for s, x in graph.search(np.asarray(q, float), k + len(gone), max(width, k + len(gone))) if ids[x] not in gone]
+                out += found[:k]
         return pd.DataFrame(out, columns=["query_id", "id", "similarity"])
 
-    found = left.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(run, "query_id long, id long, similarity double")
+    found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(run, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def approximate_top_k(df: DataFrame, column: str, queries: DataFrame, k: int, metric: str = "euclidean", tie: str = "id", shard: int = 5000, width: int = 50) -> DataFrame:
+    """The same over graphs that are built for this call only."""
+    return search_graphs(build_graphs(df, column, metric, tie, shard), queries, k, width)

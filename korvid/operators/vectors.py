@@ -120,6 +120,12 @@ def top_k_join(df: DataFrame, queries: DataFrame, column: str, k: int, metric: s
     left = asked.select("dim", "query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
     right = rows.select("dim", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(cells)).alias("cell"))
 
+    return nearest_in_groups(left, right, ["dim", "cell", "block"], k, metric)
+
+
+def nearest_in_groups(left: DataFrame, right: DataFrame, keys: list[str], k: int, metric: str) -> DataFrame:
+    """(query_id, id, similarity, rank): left's queries(query_id, q) against right's rows(id, v) with the same keys."""
+
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0)})]
         if len(a) and len(b):
@@ -137,7 +143,6 @@ def top_k_join(df: DataFrame, queries: DataFrame, column: str, k: int, metric: s
                     out.append(pd.DataFrame({"query_id": name, "id": ids[best], "similarity": row[best]}))
         return pd.concat(out)
 
-    keys = ["dim", "cell", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -189,6 +194,15 @@ def assign(df: DataFrame, column: str, centres: np.ndarray, metric: str = "eucli
     return df.where(F.col(column).isNotNull()).select(*rest).mapInPandas(run, schema)
 
 
+def probe_order(query, centres: np.ndarray, metric: str, sizes: list[int], k: int, probes: int) -> list[int]:
+    """The nearest lists, at least `probes`, and more of them until they hold k rows: known from their sizes, no row is read."""
+    order = np.argsort(-_scores(np.asarray(query, float)[None], centres, metric)[0], kind="stable").tolist()
+    n = min(len(order), probes)
+    while n < len(order) and sum(sizes[i] for i in order[:n]) < k:
+        n += 1
+    return order[:n]
+
+
 @dataclass
 class IvfIndex:
     """Inverted lists: the rows with their list, sorted by it when written; the centroids and the lists' sizes.
@@ -208,21 +222,30 @@ class IvfIndex:
     def lists(self) -> int:
         return len(self.centres)
 
-    def probe_order(self, query) -> list[int]:
-        return np.argsort(-_scores(np.asarray(query, float)[None], self.centres, self.metric)[0], kind="stable").tolist()
-
     def probed(self, query, k: int, probes: int | None = None) -> list[int]:
-        """The nearest lists, and more of them until they hold k rows: known from their sizes, no row is read."""
-        order = self.probe_order(query)
-        n = min(self.lists, probes or self.probes)
-        while n < self.lists and sum(self.sizes[i] for i in order[:n]) < k:
-            n += 1
-        return order[:n]
+        return probe_order(query, self.centres, self.metric, self.sizes, k, probes or self.probes)
 
     def search(self, query, k: int, probes: int | None = None, tie: str = "id") -> DataFrame:
         near = self.rows.where(F.col("list_id").isin(*self.probed(query, k, probes))).drop("list_id")
         return top_k(near, self.column, query, k, self.metric, tie)
 
+    def search_all(self, queries: DataFrame, k: int, tie: str = "id") -> DataFrame:
+        """(query_id, id, similarity, rank) for queries(query_id, q), a table of any size: each query meets the rows of
+        its nearest lists, one task for each list and block of queries."""
+        size = max(1, math.ceil(queries.count() / QUERIES))
+        centres, metric, sizes, probes = self.centres, self.metric, self.sizes, self.probes
+
+        def nearest(batches):
+            for pdf in batches:
+                pdf["list_id"] = [probe_order(q, centres, metric, sizes, k, probes) for q in pdf["q"]]
+                yield pdf.explode("list_id").astype({"list_id": "int32"})
+
+        left = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q"))
+        left = left.mapInPandas(nearest, "query_id long, q array<double>, list_id int").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(size)))
+        right = self.rows.select("list_id", F.col(tie).cast("long").alias("id"), F.col(self.column).alias("v"))
+        right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
+        return nearest_in_groups(left, right, ["list_id", "block"], k, metric)
+
     def append(self, more: DataFrame) -> "IvfIndex":
         """With further rows, put into the lists as they are."""
         fresh = assign(more, self.column, self.centres, self.metric)
@@ -284,7 +307,7 @@ def measured_probes(ivf: IvfIndex, k: int = 10) -> int:
     asked = ivf.rows.select(F.col(ivf.column).alias("q")).orderBy(F.xxhash64("q")).limit(PROBE_SAMPLE).collect()
     queries = {i: r["q"] for i, r in enumerate(asked)}
     near = top_k_batch(ivf.rows, ivf.column, queries, k, ivf.metric, "list_id").select("query_id", "id").collect()
-    place = {i: {x: nth for nth, x in enumerate(ivf.probe_order(q))} for i, q in queries.items()}
+    place = {i: {x: nth for nth, x in enumerate(ivf.probed(q, k, ivf.lists))} for i, q in queries.items()}
     nth = sorted(place[r["query_id"]][r["id"]] for r in near)
     return 1 + nth[max(0, math.ceil(AIMED_RECALL * len(nth)) - 1)] if nth else ivf.lists
 

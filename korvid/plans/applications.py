@@ -159,9 +159,3 @@ def behaviour_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     made = lambda m: orders.select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % m).alias("id"))
     return recommend.behaviour_recall(made(40), made(30)).withColumn("recall", F.round("recall", 9))
-
-
-@register("made_stock")
-def made_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stores = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    return recommend.made_stock(stores, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))

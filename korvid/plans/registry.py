@@ -72,7 +72,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from korvid.plans import applications, relational, spatial_queries, text_queries, vector_queries  # noqa: F401
+    from korvid.plans import applications, fixed_queries, relational, spatial_queries, text_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -142,19 +142,29 @@ def _gaps(spark: SparkSession, sf_dir: str):
     return engine
 
 
-@register("order_nulls_default", "SELECT o_orderkey, nullif(o_custkey % 7, 0) AS k FROM orders ORDER BY k DESC NULLS FIRST, o_orderkey LIMIT 2500")
+def placed(ordered: DataFrame) -> DataFrame:
+    """An ordered result with each row's place: the partitions are ordered, so their sizes say where each begins."""
+    rows = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id()).cache()
+    sizes, starts, at = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}, {}, 1
+    for part in sorted(sizes):
+        starts[part], at = at, at + sizes[part]
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_part"))
+    return rows.select(*ordered.columns, (base + F.col("_nth").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("place"))
+
+
+@register("order_nulls_default", "SELECT o_orderkey, nullif(o_custkey % 7, 0) AS k, row_number() OVER (ORDER BY nullif(o_custkey % 7, 0) DESC NULLS FIRST, o_orderkey) AS place FROM orders")
 def order_nulls_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, sf_dir).sql("SELECT o_orderkey, k FROM gaps ORDER BY k DESC, o_orderkey LIMIT 2500")
+    return placed(_gaps(spark, sf_dir).sql("SELECT o_orderkey, k FROM gaps ORDER BY k DESC, o_orderkey"))
 
 
-@register("order_nulls_ascending", "SELECT o_orderkey, nullif(o_custkey % 7, 0) AS k FROM orders ORDER BY k ASC NULLS LAST, o_orderkey LIMIT 2500")
+@register("order_nulls_ascending", "SELECT o_orderkey, nullif(o_custkey % 7, 0) AS k, row_number() OVER (ORDER BY nullif(o_custkey % 7, 0) ASC NULLS LAST, o_orderkey) AS place FROM orders")
 def order_nulls_ascending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, sf_dir).sql("SELECT o_orderkey, k FROM gaps ORDER BY k, o_orderkey LIMIT 2500")
+    return placed(_gaps(spark, sf_dir).sql("SELECT o_orderkey, k FROM gaps ORDER BY k, o_orderkey"))
 
 
-@register("order_nulls_explicit", "SELECT o_orderkey, nullif(o_custkey % 7, 0) AS k FROM orders ORDER BY k ASC NULLS FIRST, o_orderkey LIMIT 2500")
+@register("order_nulls_explicit", "SELECT o_orderkey, nullif(o_custkey % 7, 0) AS k, row_number() OVER (ORDER BY nullif(o_custkey % 7, 0) ASC NULLS FIRST, o_orderkey) AS place FROM orders")
 def order_nulls_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, sf_dir).sql("SELECT o_orderkey, k FROM gaps ORDER BY k ASC NULLS FIRST, o_orderkey LIMIT 2500")
+    return placed(_gaps(spark, sf_dir).sql("SELECT o_orderkey, k FROM gaps ORDER BY k ASC NULLS FIRST, o_orderkey"))
 
 
 @register("group_nulls", "SELECT nullif(o_custkey % 7, 0) AS k, count(*) AS n, count(nullif(o_custkey % 7, 0)) AS m FROM orders GROUP BY 1")
@@ -177,49 +187,14 @@ def stats_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.analyze("customer")
 
 
-@register("kmv_distinct")
-def kmv_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketches.kmv_estimate(table(spark, sf_dir, "lineitem"), "l_orderkey")
-
 
 @register("kmv_distinct_small", "SELECT CAST(count(DISTINCT n_name) AS DOUBLE) AS estimate FROM nation")
 def kmv_distinct_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.kmv_estimate(table(spark, sf_dir, "nation"), "n_name")
 
 
-@register("explain_plan")
-def explain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session(spark, sf_dir, "lineitem").sql(f"EXPLAIN ANALYZE {FLAGSHIP}")
-
-
-@register("fk_violations", "SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
-def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Children without a parent, once some parents are gone."""
-    parents = table(spark, sf_dir, "customer").where("c_acctbal >= 0")
-    return table(spark, sf_dir, "orders").join(parents, F.col("o_custkey") == F.col("c_custkey"), "left_anti").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("pk_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
-def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
-@register(
-    "delete_cascade_plan",
-    """SELECT 'customer' AS "table", count(*) AS n FROM customer WHERE c_nationkey = 3
-    UNION ALL SELECT 'orders', count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3
-    UNION ALL SELECT 'lineitem', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3""",
-)
-def delete_cascade_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows of each table a cascading delete would take: semi-joins along the keys."""
-    customers = table(spark, sf_dir, "customer").where("c_nationkey = 3")
-    orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    items = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    out = None
-    for name, df in (("customer", customers), ("orders", orders), ("lineitem", items)):
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
 
 
 @register("dml_cascade", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation WHERE n_regionkey <> 2 AND n_nationkey <> 0")

@@ -112,13 +112,6 @@ def text_match_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 9))
 
 
-@register("text_match_stemmed")
-def text_match_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full analysis with English stems; SQL has none."""
-    engine = session(spark, sf_dir)
-    engine.register("documents", table(spark, sf_dir, "documents"), "doc_id", [Index("d", "text", "SPIMI", {"language": "english"})])
-    return engine.sql("SELECT doc_id, SCORE() AS score FROM documents WHERE MATCH(text, 'nations and ndings') USING TF_IDF ORDER BY score DESC, doc_id LIMIT 20")
-
 
 @register(
     "text_snippet",
@@ -153,10 +146,6 @@ def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.retrieve(rounded(text_ops.bm25(index(spark, sf_dir), QUERY)), docs, 5).select("id", "document", "score", "n")
 
 
-@register("chunk_documents")
-def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.chunk_texts(table(spark, sf_dir, "documents"))
-
 
 @register(
     "chunk_word_totals",

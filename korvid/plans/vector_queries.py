@@ -67,11 +67,6 @@ def vec_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k_join(df, asked(df), "embedding", 5, "euclidean", "vec_id").select("query_id", "id", "rank")
 
 
-@register("vec_ivf")
-def vec_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted lists in the dialect: approximate."""
-    return _dialect(spark, sf_dir, f"SELECT vec_id, SIMILARITY_SCORE() AS s FROM embeddings WHERE SIMILAR_TO(embedding, '{json.dumps(QUERY)}', k=10) USING IVF")
-
 
 @register("vec_ivf_all_lists", f"SELECT vec_id FROM embeddings ORDER BY list_distance({E}, {Q}), vec_id LIMIT 10")
 def vec_ivf_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +85,6 @@ def _recall(found: DataFrame, df: DataFrame) -> DataFrame:
     return vectors.recall_at_k(found, truth).agg(F.avg("recall").alias("recall"), F.count(F.lit(1)).alias("queries"))
 
 
-@register("vec_graph_recall")
-def vec_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the layered graphs against exact search."""
-    df = table(spark, sf_dir, "embeddings")
-    return _recall(graph.approximate_top_k(df, "embedding", asked(df), 10, "euclidean", "vec_id"), df)
-
 
 @register(
     "precision_at_k",
@@ -108,11 +97,3 @@ def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectors.top_k_join(df, asked(df), "embedding", 10, "cosine", "vec_id")
     relevant = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(df.select(F.col("vec_id").alias("id"), "label"), "label")
     return vectors.precision_at_k(found, relevant, 10)
-
-
-@register("bow_codebook")
-def bow_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A codebook of visual words over descriptors, and every document's histogram."""
-    df = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("doc_id"), "embedding")
-    codebook = vectors.train_codebook(df, "embedding", 16)
-    return vectors.visual_words(df, "embedding", codebook).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))

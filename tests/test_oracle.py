@@ -34,10 +34,8 @@ def test_same_rows(spark, duck, name):
     pd.testing.assert_frame_equal(canonical(got), canonical(want))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(ORACLES)))
-def test_others_run(spark, name):
-    df = registry.queries()[name](spark, SF)
-    assert df.columns and df.count() >= 0
+def test_every_query_has_an_oracle():
+    assert set(registry.queries()) == set(ORACLES)
 
 
 def test_entry(spark):
