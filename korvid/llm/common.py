@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import sys
 import tempfile
@@ -59,9 +61,18 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def worker_state(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, so that tasks can share caches."""
-    holder = sys.modules.setdefault("_korvid_worker", types.ModuleType("_korvid_worker"))
-    return holder.__dict__.setdefault(f"state_{name}", {})
+    """A dictionary that lives as long as the Python worker, so that tasks can share caches.
+
+    A worker goes from one operator to the next, so whoever asks first ends what another has kept.
+    """
+    holder = sys.modules.setdefault("_korvid_worker", types.ModuleType("_korvid_worker")).__dict__
+    if holder.get("owner") != name:
+        for key in [k for k in holder if k.startswith("state_")]:
+            del holder[key]
+        holder["owner"] = name
+        with contextlib.suppress(OSError, AttributeError):  # freed memory goes back at once, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+    return holder.setdefault(f"state_{name}", {})
 
 
 def small(batches, rows: int = 512):

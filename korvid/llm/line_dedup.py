@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korvid.llm.common import as_bytes, checkpoint, kept_places, numbered_columns, place_of, schema_of, small
+from korvid.llm.common import as_bytes, checkpoint, kept_places, numbered_columns, place_of, schema_of, small, worker_state
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -34,6 +34,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     """
 
     def hashes(batches):
+        worker_state("line_dedup")
         for batch in small(batches):
             ids, out = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -43,6 +44,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "hash"])
 
     def rebuild(batches):
+        worker_state("line_dedup")
         for batch in small(batches):
             texts, total, gone = [], [], []
             for text, drops in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import checkpoint, small
+from korvid.llm.common import checkpoint, small, worker_state
 from korvid.llm.components import connected_components
 from korvid.llm.simhash import hits, id_and_text, shingle_digests
 
@@ -25,8 +25,8 @@ WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Fingerprints of a Jaccard of 0.8 differ in 9.7 +- 2.9 bits.
 RADIUS = 22
-#: Different sets that one task compares with each other.
-WIDE = 4096
+#: Different sets that one task compares with each other, and blocks of 64 that are compared at once.
+WIDE, AT_ONCE = 4096, 1 << 13
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -54,6 +54,7 @@ def described(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
     """(doc_id, text_hash, node, keys, fp): node hashes the shingle set, 0 for texts without words."""
 
     def run(batches):
+        worker_state("shingles")
         rng = np.random.default_rng(5)
         factors, terms = rng.integers(0, 2**64 - 1, (2, BANDS * ROWS), np.uint64)
         factors |= np.uint64(1)
@@ -83,7 +84,7 @@ def jaccard_reaches(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 def forest(prints: np.ndarray, sets: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Links of each bucket's rows by exact Jaccard, none inside a component that earlier links made."""
     label, members, out = np.arange(len(sets)), {}, []
-    for a, b in hits(prints, starts, sizes, RADIUS):
+    for a, b in hits(prints, starts, sizes, RADIUS, AT_ONCE):
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
         order = np.argsort(a, kind="stable")
@@ -107,6 +108,7 @@ def in_buckets(rows: DataFrame, schema: str, solve) -> DataFrame:
     """rows(band, key, node and others) -> what solve gives for each run of whole buckets."""
 
     def run(batches):
+        worker_state("shingles")
         held: list = []
         for batch in batches:
             if not batch.num_rows:
@@ -140,7 +142,7 @@ def near_in_buckets(rows: DataFrame) -> DataFrame:
     def solve(held):
         starts, sizes = bounds(held)
         near = np.zeros(held.num_rows, bool)
-        for a, b in hits(held.column(3).to_numpy().view(np.uint64), starts[sizes > 1], sizes[sizes > 1], RADIUS):
+        for a, b in hits(held.column(3).to_numpy().view(np.uint64), starts[sizes > 1], sizes[sizes > 1], RADIUS, AT_ONCE):
             other = a != b
             near[a[other]] = near[b[other]] = True
         cut = held.filter(pa.array(near)).combine_chunks()
