@@ -61,7 +61,7 @@ def described(image: np.ndarray, spots: np.ndarray) -> np.ndarray:
     """(n, WIDTH): for each corner, directions in CELLS x CELLS squares turned by the corner's main direction, of length 1."""
     gy, gx = np.gradient(smoothed(image))
     length, direction = np.hypot(gx, gy), np.arctan2(gy, gx)
-    steps = np.arange(-REACH, REACH) + 0.5
+    steps = np.arange(-REACH, REACH + 1)
     v, u = (x.ravel() for x in np.meshgrid(steps, steps, indexing="ij"))
     near = np.exp(-(u**2 + v**2) / (2 * REACH**2))
     out = np.zeros((len(spots), WIDTH))
@@ -71,7 +71,7 @@ def described(image: np.ndarray, spots: np.ndarray) -> np.ndarray:
         main = turns[bins.argmax()] + np.pi / 36
         spot = np.rint(y + v * np.cos(main) + u * np.sin(main)).astype(int), np.rint(x + u * np.cos(main) - v * np.sin(main)).astype(int)
         which = ((direction[spot] - main) % (2 * np.pi) / (2 * np.pi) * DIRECTIONS).astype(int) % DIRECTIONS
-        cell = ((v + REACH) * CELLS / (2 * REACH)).astype(int) * CELLS + ((u + REACH) * CELLS / (2 * REACH)).astype(int)
+        cell = (v + REACH) * CELLS // (2 * REACH + 1) * CELLS + (u + REACH) * CELLS // (2 * REACH + 1)
         np.add.at(out[row], cell * DIRECTIONS + which, length[spot] * near)
     for _ in range(2):  # cut, and brought to length 1 again
         size = np.linalg.norm(out, axis=1, keepdims=True)

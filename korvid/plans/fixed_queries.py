@@ -20,7 +20,7 @@ from korvid.apps import passages, recommend
 from korvid.catalog import Files, Index
 from korvid.engine import Engine
 from korvid.errors import ConflictError, SQLError
-from korvid.functions import analysis, audio, images, stemming
+from korvid.functions import analysis, audio, descriptors, images, stemming
 from korvid.operators import sketches, spatial, vectors
 from korvid.plans.registry import place, place_sql, register, session
 from korvid.plans.vector_queries import E, Q, QUERY, asked
@@ -526,6 +526,24 @@ def image_pixels(spark: SparkSession, sf_dir: str):
     return [(y, x, *map(int, picture[y, x])) for y in range(2) for x in range(3)]
 
 
+@expect("image_descriptors", "doc_id corners unit turned", [(0, True, True, True), (1, True, True, True), (2, True, True, True)])
+def image_descriptors(spark: SparkSession, sf_dir: str):
+    """Local descriptors of pictures: many, of length 1, and mostly those of the picture turned by a right angle."""
+    rng, pictures = np.random.default_rng(5), {}
+    for i in range(3):
+        picture = rng.normal(120, 12, (96, 96))
+        for x, y, w, h, g in rng.integers([0, 0, 8, 8, -80], [88, 88, 40, 40, 80], (30, 5)):
+            picture[y : y + h, x : x + w] += g
+        pictures[i] = np.clip(picture, 0, 255).astype(np.uint8)
+    files = [(i + 10 * k, bytearray(b"P5\n96 96\n255\n" + np.rot90(p, k).tobytes())) for i, p in pictures.items() for k in range(2)]
+    found: dict[int, list] = {}
+    for r in descriptors.descriptors_of(spark.createDataFrame(files, "doc_id long, content binary")).collect():
+        found.setdefault(r["doc_id"], []).append(r["descriptor"])
+    own = {i: np.array(v) for i, v in found.items()}
+    near = lambda a, b: float((np.sqrt(np.maximum(0, 2 - 2 * a @ b.T)).min(axis=1) < 0.35).mean())
+    return [(i, len(own[i]) > 10, bool(np.allclose(np.linalg.norm(own[i], axis=1), 1, atol=1e-4)), near(own[i], own[10 + i]) > 0.4) for i in pictures]
+
+
 @register("signal_by_image", f"SELECT vec_id AS id, round(list_cosine_similarity({E}, {Q}), 9) AS value FROM embeddings ORDER BY list_cosine_similarity({E}, {Q}) DESC, vec_id LIMIT 102")
 def signal_by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recommend.by_image(table(spark, sf_dir, "embeddings"), "embedding", QUERY, tie="vec_id")
