@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 
 from korvid.llm.components import connected_components
 
@@ -28,3 +29,31 @@ def test_chains_trees_and_loops(spark):
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 200 for i in range(200, 260)}, 3: 3, 7: 3}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from korvid.llm.common import set_checkpoint_dir
+
+    made = []
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    session = lambda folder: SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: folder))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        set_checkpoint_dir(session(None))
+    set_checkpoint_dir(session("hdfs://shared"))
+    assert made == ["hdfs://shared"]
+
+
+def test_spent_checkpoints_are_deleted(spark):
+    import glob
+    from urllib.parse import urlparse
+
+    from korvid.llm.common import checkpoint, forget
+
+    df = checkpoint(spark.range(10))
+    folder = urlparse(spark.sparkContext.getCheckpointDir()).path
+    before = set(glob.glob(f"{folder}/rdd-*"))
+    forget(df)
+    assert len(before - set(glob.glob(f"{folder}/rdd-*"))) == 1
+    forget(spark.range(3))  # no checkpoint: nothing happens

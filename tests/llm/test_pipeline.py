@@ -62,6 +62,16 @@ def test_stages(spark, small):
     check_places(pieces)
 
 
+def test_stages_leave_own_columns_alone(spark, small):
+    names = ["lang_pred", "SCORE", "n_lines", "n_dropped", "topic", "Tokens", "probability", "_topic", "a.b", "gone"]
+    docs = spark.createDataFrame([(*r, *(f"{n} of {r[0]}" for n in names)) for r in small[:90]], DOCS + "".join(f", `{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, None).collect(), docs.schema)
+        assert docs.columns[5:] == names
+    rows = docs.collect()
+    assert len(rows) > 20 and all(r[5 + k] == f"{n} of {r[0]}" for r in rows for k, n in enumerate(names))
+
+
 def test_empty_documents_and_extra_columns(spark):
     docs = spark.createDataFrame([], DOCS).withColumn("score", F.lit("clash")).withColumn("fp", F.lit(1))
     for name, stage in corpus_pipeline.STAGES[:-1]:
