@@ -31,7 +31,7 @@ from korvid.llm.common import as_bytes, checkpoint, numbered_columns, place_of,
 #: Bytes that make a head; windows need at least twice as many.
 GRAM = 64
 #: Classes that one bucket may hold of one group.
-GROUP = 1024
+GROUP = 256
 #: Suffixes that a bucket sorts at once, but for the rest of the last group.
 STRETCH = 16384
 #: Each time leading tokens grow, blocks of distances shrink by this factor.
