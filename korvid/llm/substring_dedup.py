@@ -197,7 +197,7 @@ def _longer_leads(rows: DataFrame, width: int, length: int, deepest: int) -> Dat
     """Cuts each row's distances into blocks of the width and keys them by the bytes all their windows share."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):  # a segment becomes up to BRANCH pieces
             out = []
             for did, tid, pos, lo, hi, seg in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 for first in range(lo // width * width, hi + 1, width):
