@@ -36,6 +36,8 @@ GROUP = 256
 STRETCH = 16384
 #: Each time leading tokens grow, blocks of distances shrink by this factor.
 BRANCH = 7
+#: Keys with so many rows are dealt to several tasks; at most HOT_KEYS of them, those with the most rows.
+SPLIT, HOT_KEYS = 256, 10_000
 #: Bytes hashed at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
 BASE, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
@@ -276,6 +278,27 @@ def _by_row(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return texts.join(other.hint("shuffle_hash"), same, how).drop("_did", "_tid")
 
 
+def _having(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that have one of the keys of found(keys, n), n being about its number of rows.
+
+    A key with many rows stands once for each part of its rows. "Many" is the least power of two
+    from SPLIT on that at most HOT_KEYS keys reach, so the table of them that every task gets is bounded.
+    """
+    power = F.floor(F.log2("n")).cast("int")
+    sizes = {r["p"]: r["k"] for r in found.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    p = SPLIT.bit_length() - 1
+    while sum(k for q, k in sizes.items() if q >= p) > HOT_KEYS:
+        p += 1
+    if max(sizes, default=0) < p:
+        return rows.join(found.select(*keys), keys)
+    parts = F.when(power >= p, F.ceil(F.col("n") / (1 << p)).cast("int")).otherwise(1)
+    hot = found.where(power >= p).select(*keys, parts.alias("parts"))
+    # A stored table is read in the same order again, so a row's part is the same when a task is repeated.
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("part", F.floor(F.rand(5) * F.coalesce("parts", F.lit(1))).cast("int"))
+    spread = found.select(*keys, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(spread, [*keys, "part"]).drop("part", "parts")
+
+
 def _repeats(table: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """marks(did, tid, pos, lo, hi): the runs of windows that stand elsewhere too.
 
@@ -285,12 +308,11 @@ def _repeats(table: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     n = F.count(F.lit(1))
     marks = [table.where("n = 0").select(*_SPOT)]
     found = table.where("n > 0")
-    # Tables that meet a hot key in a join are cut off from their aggregation first, so that the join can be split.
-    heads = checkpoint(found.groupBy("head").agg(F.sum("n").alias("n")).where("n > 1").select("head"))
-    found = stored(found.join(heads, "head"))  # else the classes would be counted by the join's partitions
+    heads = checkpoint(found.groupBy("head").agg(F.sum("n").alias("n")).where("n > 1"))
+    found = stored(_having(found, heads, ["head"]))  # else the classes would be counted by the join's partitions
     classes = checkpoint(found.groupBy("head", "body", "more").agg(F.sum("n").alias("n"), one))
-    copies = classes.where("n > 1").select("head", "body", "more")
-    marks.append(found.where("n = 1").join(copies, ["head", "body", "more"]).select(*_SPOT))
+    copies = classes.where("n > 1").select("head", "body", "more", "n")
+    marks.append(_having(found.where("n = 1"), copies, ["head", "body", "more"]).select(*_SPOT))
 
     # What is left to compare: a member of each class whose head other classes have too.
     sizes = checkpoint(classes.groupBy("head").agg(n.alias("d")).where("d > 1"))
@@ -308,8 +330,8 @@ def _repeats(table: DataFrame, texts: DataFrame, length: int) -> DataFrame:
         width //= BRANCH
         cut = stored(_longer_leads(large, width, length, deepest))
         classes = checkpoint(cut.groupBy("lead", "whole").agg(n.alias("n"), one))
-        copies = classes.where("n > 1").select("lead", "whole")
-        marks.append(cut.join(copies, ["lead", "whole"]).select(*_SPOT))
+        copies = classes.where("n > 1").select("lead", "whole", "n")
+        marks.append(_having(cut, copies, ["lead", "whole"]).select(*_SPOT))
         sizes = checkpoint(classes.groupBy("lead").agg(n.alias("d")).where("d > 1"))
         chosen = classes.join(sizes, "lead").select("lead", "one.*", "d")
         rows = stored(cut.join(chosen, ["lead", *_SPOT]).select("lead", *_SPOT, "seg", "d"))

@@ -90,3 +90,20 @@ def test_multikey_sort():
     texts = [rows[i].tobytes() for i in order]
     assert texts == sorted(texts)
     assert all(a[:c] == b[:c] and (c == 24 or a[c] != b[c]) for a, b, c in zip(texts, texts[1:], common[1:].tolist()))
+
+
+@pytest.mark.parametrize("split, most", [(2, 10_000), (2, 3), (8, 1)])
+def test_hot_keys_in_several_parts_lose_nothing(spark, monkeypatch, split, most):
+    monkeypatch.setattr(sd, "SPLIT", split)
+    monkeypatch.setattr(sd, "HOT_KEYS", most)
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(None if i % 7 == 0 else i, min(rng.randrange(1, 40), 20)) for i in range(600)], "did long, k long")
+    keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k % 3 != 0")
+    want = Counter((r.did, r.k) for r in rows.collect() if r.k % 3)
+    assert Counter((r.did, r.k) for r in sd._having(rows, keys, ["k"]).collect()) == want
+    assert sd._having(rows, keys.where("false"), ["k"]).count() == 0
+
+
+def test_equals_brute_force_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(sd, "SPLIT", 4)
+    check(spark, make(9) + make(9)[3:5] * 20, 16)
