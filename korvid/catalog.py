@@ -161,6 +161,13 @@ class Catalog:
             t["indexes"] = [Index(**i) for i in t["indexes"]]
             self.tables[t["name"]] = Table(**t)
 
+    def refresh(self, keep: set[str]) -> None:
+        """Reads the manifest again, but for the tables to keep as they are here."""
+        own = {n: t for n, t in self.tables.items() if n in keep}
+        self.tables = {}
+        self._load()
+        self.tables.update(own)
+
     def save(self, base: int | None = None) -> None:
         """Publishes the tables; base: the revision that they were changed from."""
         text = self.files.read(self.MANIFEST)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korvid.catalog import MEDIA, RID, Catalog, Field, Files, Index, Table, vector_column
-from korvid.errors import SQLError, SQLExecutionError, SQLIntegrityError, SQLSemanticError
+from korvid.errors import DeadlockError, SQLError, SQLExecutionError, SQLIntegrityError, SQLSemanticError
+from korvid.locks import DATABASE, LockTable
 from korvid.operators import spatial, vectors
 from korvid.operators import text as text_ops
 from korvid.operators.numbering import numbered
@@ -71,15 +72,21 @@ class Result:
 
 
 class Engine:
-    """Statements run in autocommit unless BEGIN came before; each is atomic by itself."""
+    """Statements run in autocommit unless BEGIN came before; each is atomic by itself.
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
+    Sessions of one driver that are given the same LockTable wait for each other's tables until the
+    end of a transaction; without one, a commit that finds another revision fails.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, locks: LockTable | None = None):
+        self.spark, self.locks = spark, locks
         # Without a path the tables live in the warehouse, which every executor sees.
         self.catalog = Catalog(spark, path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/korvid-{uuid.uuid4().hex}")
         self.lowering = Lowering(self.catalog, self.text_index, self.vector_search)
         self._derived: dict[tuple, Any] = {}
         self._open: tuple[Any, int] | None = None
+        #: Whether the open transaction has read the manifest since it got the whole database.
+        self._defined = False
 
     def register(self, name: str, df: DataFrame, key: str | None = None, indexes: list[Index] = ()) -> None:
         """A read-only table over any DataFrame."""
@@ -116,6 +123,61 @@ class Engine:
     def run(self, statement: Any) -> Result:
         if isinstance(statement, a.Transaction):
             return self._transaction(statement.action)
+        if self.locks is None:
+            return self._run(statement)
+        try:
+            self._lock(statement.statement if isinstance(statement, a.Explain) else statement)
+            return self._run(statement)
+        except DeadlockError:
+            if self._open is not None:
+                self._transaction("ROLLBACK")
+            raise
+        finally:
+            if self._open is None:
+                self.locks.release(self)
+
+    def _lock(self, s: Any) -> None:
+        """Locks what the statement reads (S) and changes (X), and reads the manifest's state of it."""
+        reads = isinstance(s, a.Select)
+        defines = isinstance(s, (a.CreateTable, a.CreateIndex))
+        self.locks.acquire(self, DATABASE, "X" if defines else "IS" if reads else "IX")
+        self._refresh()
+        wanted: dict[str, str] = {}
+        if reads:
+            wanted = {t.name: "S" for t in (s.table, *(j.table for j in s.joins))}
+        elif isinstance(s, a.Delete):
+            wanted, ahead = {}, [s.table.name]
+            while ahead:  # and whatever refers to it
+                name = ahead.pop()
+                if name not in wanted:
+                    wanted[name] = "X"
+                    ahead += [t.name for t in self.catalog.tables.values() if any(f["table"] == name for f in t.foreign_keys)]
+        elif not defines:
+            table = self.catalog.tables.get(s.table)
+            wanted = {f["table"]: "S" for f in (table.foreign_keys if table else ())} | {s.table: "X"}
+        for name in sorted(wanted):
+            self.locks.acquire(self, name, wanted[name])
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """What this session may have changed is its own; nobody else can have changed it."""
+        held = self.locks.held(self)
+        if held.get(DATABASE) == "X" and self._open is not None and self._defined:
+            return
+        with self.locks.latch:
+            self.catalog.refresh({name for name, mode in held.items() if mode == "X"})
+        self._defined = held.get(DATABASE) == "X"
+
+    def _publish(self, base: int) -> None:
+        if self.locks is None:
+            return self.catalog.save(base)
+        with self.locks.latch:
+            held = self.locks.held(self)
+            if held.get(DATABASE) != "X":
+                self.catalog.refresh({name for name, mode in held.items() if mode == "X"})
+            self.catalog.save()
+
+    def _run(self, statement: Any) -> Result:
         if isinstance(statement, a.Select):
             bound = self.lowering.select(statement)
             return Result(bound.labels, bound.df)
@@ -125,7 +187,7 @@ class Engine:
         try:
             result = self._change(statement)
             if self._open is None:
-                self.catalog.save(self.catalog.revision)
+                self._publish(self.catalog.revision)
             return result
         except PySparkException as e:
             self.catalog.restore(held)
@@ -151,16 +213,19 @@ class Engine:
         if action == "BEGIN":
             if self._open is not None:
                 raise SQLExecutionError("a transaction is open already")
+            self._defined = False
             self._open = self.catalog.snapshot(), self.catalog.revision
             return Result(message="BEGIN")
         if self._open is None:
             raise SQLExecutionError("no transaction is open")
         held, base = self._open
         if action == "COMMIT":
-            self.catalog.save(base)
+            self._publish(base)
         else:
             self.catalog.restore(held)
         self._open = None
+        if self.locks is not None:
+            self.locks.release(self)
         return Result(message=action)
 
     # -- definitions --

@@ -39,3 +39,11 @@ class SQLIntegrityError(SQLExecutionError):
 
 class ConflictError(SQLExecutionError):
     """Another session changed a table that this transaction changed too."""
+
+
+class DeadlockError(SQLExecutionError):
+    """Sessions wait for each other's locks; the one that gets this has been rolled back."""
+
+
+class LockTimeoutError(SQLExecutionError):
+    """A lock wasn't granted in time; the statement failed, its transaction is still open."""

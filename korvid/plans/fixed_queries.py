@@ -10,6 +10,8 @@ import io
 import json
 import os
 import tempfile
+import threading
+import time
 import wave
 
 import numpy as np
@@ -21,6 +23,7 @@ from korvid.catalog import Files, Index
 from korvid.engine import Engine
 from korvid.errors import ConflictError, SQLError
 from korvid.functions import analysis, audio, descriptors, images, stemming
+from korvid.locks import LockTable
 from korvid.operators import sketches, spatial, vectors
 from korvid.plans.registry import place, place_sql, register, session
 from korvid.plans.vector_queries import E, Q, QUERY, asked
@@ -64,9 +67,9 @@ def expect(name: str, columns: str, rows: list[tuple]):
     return add
 
 
-def fresh(spark: SparkSession) -> Engine:
+def fresh(spark: SparkSession, locks: LockTable | None = None) -> Engine:
     """An engine whose tables go with the session."""
-    engine = Engine(spark)
+    engine = Engine(spark, locks=locks)
     Files(spark, engine.catalog.root).go_with_the_session()
     return engine
 
@@ -186,6 +189,45 @@ def transaction_outcomes(spark: SparkSession, sf_dir: str):
     return out
 
 
+@expect("lock_outcomes", "nth step result", [
+    (1, "two sessions change two tables", "done"), (2, "read of a changed table", "LockTimeoutError"),
+    (3, "child of a changed table", "LockTimeoutError"), (4, "read after the commit", "done"), (5, "definition beside a reader", "LockTimeoutError"),
+    (6, "two readers", "done"), (7, "both readers want to change", "DeadlockError"), (8, "the other goes on", "done"),
+])
+def lock_outcomes(spark: SparkSession, sf_dir: str):
+    """Sessions that share a lock table: shared and exclusive locks to a transaction's end, a time limit, a circle."""
+    locks = LockTable(timeout=0.2)
+    one = fresh(spark, locks)
+    one.execute(SCHOOL)
+    two, waits = Engine(spark, one.catalog.root, locks), Engine(spark, one.catalog.root, locks)
+
+    later = threading.Thread(target=lambda: one.execute("INSERT INTO courses VALUES (9, 'art'); COMMIT"))
+
+    def circle():
+        locks.timeout = 120
+        later.start()
+        while later.is_alive() and not locks.waiting():
+            time.sleep(0.01)
+        two.execute("INSERT INTO courses VALUES (8, 'sport')")
+
+    def goes_on():
+        later.join()
+        if [r[0] for r in two.execute("SELECT cid FROM courses WHERE cid > 7").rows()] != [9]:
+            raise SQLError("the waiting session's row isn't there")
+
+    steps = (
+        ("two sessions change two tables", lambda: (one.execute("BEGIN; INSERT INTO courses VALUES (3, 'art')"), two.execute("DELETE FROM grants"))),
+        ("read of a changed table", lambda: waits.execute("SELECT cid FROM courses")),
+        ("child of a changed table", lambda: waits.execute("INSERT INTO pupils VALUES (30, 3)")),
+        ("read after the commit", lambda: (one.execute("COMMIT"), waits.execute("INSERT INTO pupils VALUES (30, 3)"))),
+        ("definition beside a reader", lambda: (one.execute("BEGIN; SELECT cid FROM courses"), two.execute("CREATE TABLE t (id INT)"))),
+        ("two readers", lambda: two.execute("BEGIN; SELECT cid FROM courses")),
+        ("both readers want to change", circle),
+        ("the other goes on", goes_on),
+    )
+    return [(n, name, outcome(run)) for n, (name, run) in enumerate(steps, 1)]
+
+
 WRONG = {
     "SELECT x FROM courses": "SQLSemanticError",
     "SELECT cid FROM nowhere": "SQLSemanticError",
