@@ -10,7 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korvid.operators.vectors import _scores
+from korvid.operators.vectors import AIMED_RECALL, _scores
+
+#: Rows of a graph, and neighbours of each, by which its width is measured.
+WIDTH_SAMPLE, WIDTH_NEAR = 64, 10
+#: The least width of a search.
+WIDTH = 50
 
 
 class Graph:
@@ -22,6 +27,7 @@ class Graph:
         levels = np.minimum((-np.log(1 - rng.random(len(vectors))) / np.log(links)).astype(int), 12)
         self.layers: list[dict[int, list[int]]] = []
         self.entry = -1
+        self.width = 0
         for node, level in enumerate(levels.tolist()):
             self._add(node, level)
 
@@ -80,10 +86,28 @@ class Graph:
             at = self._search(q, at, 1, self.layers[depth])[0][1]
         return self._search(q, at, max(k, width), self.layers[0])[:k]
 
+    def measure(self, width: int, seed: int = 42) -> None:
+        """Doubles the width until searches between two of the graph's rows find AIMED_RECALL of their true neighbours.
+
+        Rows themselves are easy to find, as the graph leads to them; queries that it doesn't hold are not.
+        """
+        rng = np.random.default_rng(seed)
+        pairs = rng.integers(0, len(self.v), (WIDTH_SAMPLE, 2))
+        asked = self.v[pairs].mean(axis=1)
+        scores = np.nan_to_num(_scores(asked, self.v, self.metric), nan=-np.inf)
+        k = min(WIDTH_NEAR, len(self.v))
+        least = np.partition(scores, len(self.v) - k, axis=1)[:, len(self.v) - k]
+        self.width = width
+        while self.width < len(self.v):
+            # By scores, so that rows as near as the last count alike.
+            hits = sum(s >= t - 1e-12 for q, t in zip(asked, least) for s, _ in self.search(q, k, self.width))
+            if hits >= AIMED_RECALL * k * len(asked):
+                break
+            self.width *= 2
 
     def to_bytes(self) -> bytes:
         """Vectors and layers, for from_bytes."""
-        parts = {"v": self.v, "metric": np.array(self.metric), "sizes": np.array([self.links, self.build, self.entry, len(self.layers)])}
+        parts = {"v": self.v, "metric": np.array(self.metric), "sizes": np.array([self.links, self.build, self.entry, len(self.layers), self.width])}
         for depth, layer in enumerate(self.layers):
             nodes = sorted(layer)
             parts[f"nodes{depth}"] = np.array(nodes, np.int32)
@@ -98,7 +122,7 @@ class Graph:
         held = np.load(io.BytesIO(content))
         graph = cls.__new__(cls)
         graph.v, graph.metric = held["v"], str(held["metric"])
-        graph.links, graph.build, graph.entry, depth = (int(x) for x in held["sizes"])
+        graph.links, graph.build, graph.entry, depth, graph.width = (int(x) for x in held["sizes"])
         graph.layers = []
         for d in range(depth):
             ends, links = held[f"ends{d}"], held[f"links{d}"].tolist()
@@ -107,20 +131,25 @@ class Graph:
 
 
 def build_graphs(df: DataFrame, column: str, metric: str = "euclidean", tie: str = "id", shard: int = 5000) -> DataFrame:
-    """(shard, ids, graph): a graph over every shard of about `shard` rows, to be written and searched again and again."""
+    """(shard, ids, graph): a graph over every shard of about `shard` rows, to be written and searched again and again.
+
+    Each measures the width that its searches need, against all of its rows.
+    """
     shards = max(1, round(df.count() / shard))
     rows = df.where(F.col(column).isNotNull()).select(F.col(tie).cast("long").alias("id"), F.col(column).alias("v"), F.pmod(F.xxhash64(tie), F.lit(shards)).cast("int").alias("shard"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         made = Graph(np.stack(pdf["v"].to_numpy()).astype(float), metric)
+        made.measure(WIDTH)
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [pdf["id"].to_numpy()], "graph": [made.to_bytes()]})
 
     return rows.groupBy("shard").applyInPandas(run, "shard int, ids array<long>, graph binary")
 
 
-def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, width: int = 50, without: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, similarity, rank) for queries(query_id, q): every graph is searched for every query.
+def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, width: int = WIDTH, without: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank) for queries(query_id, q): every graph is searched for every query, with the width
+    that it has measured or the given one if that is larger.
 
     without(id): rows deleted since the graphs were built; each graph then gives as many more as it
     has lost, so none of the k that are left is missed for their sake.
@@ -139,7 +168,7 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, width: int = 50
         for ids, content, lost in zip(b["ids"], b["graph"], b["lost"]):
             graph, gone = Graph.from_bytes(content), set(() if lost is None else lost)
             for n, q in zip(a["query_id"], a["q"]):
-                found = [(n, ids[x], s) for s, x in graph.search(np.asarray(q, float), k + len(gone), max(width, k + len(gone))) if ids[x] not in gone]
+                found = [(n, ids[x], s) for s, x in graph.search(np.asarray(q, float), k + len(gone), max(width, graph.width, k + len(gone))) if ids[x] not in gone]
                 out += found[:k]
         return pd.DataFrame(out, columns=["query_id", "id", "similarity"])
 
@@ -148,6 +177,6 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, width: int = 50
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def approximate_top_k(df: DataFrame, column: str, queries: DataFrame, k: int, metric: str = "euclidean", tie: str = "id", shard: int = 5000, width: int = 50) -> DataFrame:
+def approximate_top_k(df: DataFrame, column: str, queries: DataFrame, k: int, metric: str = "euclidean", tie: str = "id", shard: int = 5000, width: int = WIDTH) -> DataFrame:
     """The same over graphs that are built for this call only."""
     return search_graphs(build_graphs(df, column, metric, tie, shard), queries, k, width)

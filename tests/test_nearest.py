@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from korvid.operators import vectors
+from korvid.operators import graph, vectors
 
 
 @pytest.fixture
@@ -31,3 +31,14 @@ def test_several_cells_and_equal_vectors(spread, metric):
         else:
             s = (v * v[i]).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) if metric == "cosine" else 1)
         assert [got[i, n] for n in range(1, 5)] == np.lexsort((np.arange(len(v)), -s))[:4].tolist()
+
+
+def test_graphs_measure_the_width_they_need(spark):
+    rng = np.random.default_rng(8)
+    v, q = rng.normal(size=(2500, 48)), rng.normal(size=(40, 48))
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "id long, v array<double>")
+    asked = spark.createDataFrame(list(enumerate(q.tolist())), "query_id long, q array<double>")
+    found = graph.approximate_top_k(df, "v", asked, 10).collect()
+    near = np.argsort(((q[:, None] - v[None]) ** 2).sum(-1), axis=1)[:, :10]
+    want = {(i, j) for i, row in enumerate(near.tolist()) for j in row}
+    assert len(want & {(r.query_id, r.id) for r in found}) >= 0.9 * len(want)
