@@ -33,7 +33,7 @@ INLIERS, NEAR, SCALE_OFF, TURN_OFF = 3, 3.0, 1.35, 25.0
 APART = 5.0
 #: Larger buckets are compared as values: in blocks of BLOCK, equal descriptors as one.
 WIDE, BLOCK = 32, 1024
-#: Rows of one descriptor in a bucket up to which all their pairs are kept.
+#: Rows of one descriptor in a bucket up to which all their pairs are made at once; those of more are made block by block.
 MEMBERS = 1024
 #: A corner in one number: its place in the image's list, turn, scale, and x and y in sixteenths of a pixel.
 NTH, TURN, SCALE, PLACE = 6, 8, 2, 22
@@ -239,10 +239,11 @@ def _near_values(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i[i < j], j[i < j]
 
 
-def _bucket_pairs(d: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bucket_pairs(d: np.ndarray, rows: np.ndarray, large_pairs: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """A wide bucket: equal descriptors are one member of it, and its near pairs are those of their rows.
 
-    Where two members have over MEMBERS**2 pairs of rows, each row is paired with the other's first.
+    Two members with over MEMBERS**2 pairs of rows go to large_pairs, for _in_blocks; without that list each row is
+    paired with the other's first only.
     """
     values, member = np.unique(d[rows], axis=0, return_inverse=True)
     member = member.reshape(-1)
@@ -255,6 +256,9 @@ def _bucket_pairs(d: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.
     out = []
     for x, y in zip(u[large], v[large]):
         xs, ys = order[starts[x] : starts[x] + sizes[x]], order[starts[y] : starts[y] + sizes[y]]
+        if large_pairs is not None:
+            large_pairs.append((xs, ys))
+            continue
         out += [(np.full(len(ys), xs[0]), ys), (xs, np.full(len(xs), ys[0]))]
     u, v = u[~large], v[~large]
     n = sizes[u] * sizes[v]
@@ -266,6 +270,16 @@ def _bucket_pairs(d: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.
     return out
 
 
+def _in_blocks(xs: np.ndarray, ys: np.ndarray):
+    """All pairs of two members' rows, those of a member with itself once; BLOCK**2 at a time."""
+    alone = xs[0] == ys[0]
+    for a in range(0, len(xs), BLOCK):
+        for b in range(a if alone else 0, len(ys), BLOCK):
+            x, y = xs[a : a + BLOCK], ys[b : b + BLOCK]
+            i, j = np.triu_indices(len(x), 1) if alone and a == b else np.indices((len(x), len(y))).reshape(2, -1)
+            yield x[i], y[j]
+
+
 def matches(corners: DataFrame) -> DataFrame:
     """corners(node, meta, d0, d1, d2) -> (src, dst, a, b): matched corners of different nodes, src < dst.
 
@@ -283,10 +297,15 @@ def matches(corners: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         small = (sizes > 1) & (sizes <= WIDE)
-        parts = [_near_pairs(starts[small], sizes[small], d)] if small.any() else []
+        parts, large = [_near_pairs(starts[small], sizes[small], d)] if small.any() else [], []
         for s, n in zip(starts[sizes > WIDE], sizes[sizes > WIDE]):
-            parts += _bucket_pairs(d, np.arange(s, s + n)[np.argsort(node[s : s + n], kind="stable")])
-        i, j = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, int) for k in range(2))
+            parts += _bucket_pairs(d, np.arange(s, s + n)[np.argsort(node[s : s + n], kind="stable")], large)
+        yield matched(node, meta, tab, d, *(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, int) for k in range(2)))
+        for xs, ys in large:
+            for i, j in _in_blocks(xs, ys):
+                yield matched(node, meta, tab, d, i, j)
+
+    def matched(node, meta, tab, d, i, j):
         i, j = np.where(node[i] <= node[j], i, j), np.where(node[i] <= node[j], j, i)
         keep = node[i] != node[j]
         for k in range(TABLES):  # a pair that an earlier table has too is left to it
@@ -303,16 +322,16 @@ def matches(corners: DataFrame) -> DataFrame:
             key = cols[0]
             whole = np.flatnonzero(key != key[-1])
             if not len(whole) and held and held[-1][0][-1] != key[0]:
-                yield solve(held)
+                yield from solve(held)
                 held = []
             if len(whole):  # all but the last bucket are complete
                 cut = whole[-1] + 1
                 held.append([c[:cut] for c in cols])
-                yield solve(held)
+                yield from solve(held)
                 held, cols = [], [c[cut:] for c in cols]
             held.append(cols)
         if held:
-            yield solve(held)
+            yield from solve(held)
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "node", "meta")
     return dealt.mapInArrow(run, "src long, dst long, a long, b long")
@@ -383,8 +402,7 @@ def copies(media: DataFrame, id_col: str = "media_id", inliers: int = INLIERS) -
     """(media_id, class_id, n_links) for every row of media.
 
     class_id is the least media_id that a chain of links reaches; n_links counts the other
-    images that are equal or were linked directly (where over MEMBERS corners have the same
-    descriptor, which are linked as a star, those on the star). Null, empty or malformed pixels have no corners and
+    images that are equal or were linked directly. Null, empty or malformed pixels have no corners and
     are linked only to rows that are equal in size and pixels. Null ids are kept and name no
     class; repeated rows are copies. An empty table gives none; other columns are not read.
     """

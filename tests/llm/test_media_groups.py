@@ -39,3 +39,15 @@ def test_wide_bucket_without_near_pairs():
     d = np.random.default_rng(3).integers(0, 2**64 - 1, (60, 3), np.uint64)
     d[:, 0] &= np.uint64(0xFFFFFFFF00000000)
     assert sum(len(i) for i, _ in media._bucket_pairs(d, np.arange(60))) == 0
+
+
+def test_large_members_keep_all_links(spark, monkeypatch):
+    monkeypatch.setattr(media, "MEMBERS", 4)
+    monkeypatch.setattr(media, "BLOCK", 16)
+    image, rows = media.draw(b"one"), []
+    for i in range(70):
+        own = image.copy()
+        own[:10, :10] = i
+        rows.append((i, 64, 64, bytearray(own.tobytes())))
+    got = {tuple(r) for r in media.copies(spark.createDataFrame(rows, MEDIA)).select("media_id", "class_id", "n_links").collect()}
+    assert got == {(i, 0, 69) for i in range(70)}
