@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korvid.llm.common import kept_places, numbered_columns, place_of, schema_of, small, worker_state
+from korvid.llm.common import kept_places, numbered_columns, place_of, schema_of, small, tidy, worker_state
 
 FEATURES = 1 << 15
 #: At most about so many labelled rows train the weights, shared evenly by the languages.
@@ -118,7 +118,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.record_batch([pa.array(np.r_[seen, -1]), pa.array(np.r_[total[seen], rows])], names=["feature", "n"])
 
     # One row per task and feature, then FEATURES + 1 rows at most.
-    parts = texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    parts = texts.mapInArrow(tidy(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     df, rows = np.zeros(FEATURES, np.int64), 0
     for r in parts.collect():
         if r["feature"] < 0:
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "lang", "f", "n"])
 
     # The sample is hashed, so its size only varies a little; the limit makes the bound strict, by the hash too.
-    picked = own.where(pick).mapInArrow(vectors, "id string, lang string, f binary, n binary")
+    picked = own.where(pick).mapInArrow(tidy(vectors), "id string, lang string, f binary, n binary")
     got = picked.orderBy(F.xxhash64("id"), "id", "lang", "f").limit(2 * sample + 2 * len(languages)).collect()
     got.sort(key=lambda r: (r["id"][::-1], r["lang"], r["f"]))
     examples = []
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[
 
     rows = numbered_columns(docs).select(F.col(f"c{text_at}").alias("text"), *[f"c{i}" for i in keep])
     schema = schema_of(docs, keep, lang=T.StringType(), score=T.DoubleType())
-    return rows.mapInArrow(run, schema).toDF(*[docs.columns[i] for i in keep], *into)
+    return rows.mapInArrow(tidy(run), schema).toDF(*[docs.columns[i] for i in keep], *into)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korvid.llm.common import as_bytes, checkpoint, kept_places, numbered_columns, place_of, schema_of, small, worker_state
+from korvid.llm.common import as_bytes, checkpoint, kept_places, numbered_columns, place_of, schema_of, small, tidy, worker_state
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     own = numbered_columns(docs)
     key = F.col(f"c{id_at}").cast("long")
     # One row for each row and distinct hash: the count needs no distinct and combines before the shuffle.
-    lines = own.where(key.isNotNull()).select(key.alias("id"), as_bytes(f"c{text_at}").alias("text")).mapInArrow(hashes, "id long, hash binary")
+    lines = own.where(key.isNotNull()).select(key.alias("id"), as_bytes(f"c{text_at}").alias("text")).mapInArrow(tidy(hashes), "id long, hash binary")
     # Several rows of one id are rare: where the rows reach min_docs their ids are counted, else they can't.
     counted = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
     # Cut off from its aggregation, so that a join on a line of very many documents can be split.
@@ -79,6 +79,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     # The small side is built into hash tables: the texts are shuffled once and never sorted.
     joined = base.join(drops.hint("shuffle_hash"), F.col("key") == F.col("drop_id"), "left").select("text", "drops", *[f"c{i}" for i in rest])
     schema = schema_of(docs, rest, total=T.LongType(), gone=T.LongType(), whole=T.BinaryType())
-    made = joined.mapInArrow(rebuild, schema)
+    made = joined.mapInArrow(tidy(rebuild), schema)
     order = [F.col("whole").cast("string") if i == text_at else F.col(f"c{i}") for i in keep]
     return made.select(*order, "total", "gone").toDF(*[docs.columns[i] for i in keep], *into)

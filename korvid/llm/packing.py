@@ -8,6 +8,7 @@ and place). The pieces get their rank among those of their length and look up th
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korvid.llm.common import checkpoint, small, worker_state
+from korvid.llm.common import checkpoint, small, tidy, worker_state
 
 CAPACITY, EOS = 2048, 0
 #: Words whose ids one Python worker keeps.
@@ -74,7 +75,8 @@ class Words:
 
 
 def words(path: str) -> Words:
-    """One for each Python worker."""
+    """One for each Python worker, which is one of several on its machine: threads of its own would only hold memory."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     state = worker_state("tokenizer")
     if path not in state:
         state[path] = Words(path)
@@ -101,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 Run = tuple[int, int, int, int, int, int]
@@ -259,7 +261,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = parts.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
     keep = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name != "_part"]
-    return ranked.mapInArrow(place, ", ".join([*keep, "sequence_id long", "offset long"]))
+    return ranked.mapInArrow(tidy(place), ", ".join([*keep, "sequence_id long", "offset long"]))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import checkpoint, small, worker_state
+from korvid.llm.common import checkpoint, small, tidy, worker_state
 from korvid.llm.components import connected_components
 from korvid.llm.simhash import hits, id_and_text, shingle_digests
 
@@ -70,7 +70,7 @@ def described(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), signed(keys))
             yield pa.record_batch([batch.column(0), batch.column(1), signed(nodes), lists, signed(prints)], names=["doc_id", "text_hash", "node", "keys", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, text_hash long, node long, keys array<long>, fp long")
 
 
 def jaccard_reaches(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -127,7 +127,7 @@ def in_buckets(rows: DataFrame, schema: str, solve) -> DataFrame:
             yield solve(pa.Table.from_batches(held))
 
     dealt = rows.repartition("band", "key").sortWithinPartitions("band", "key", "node")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def bounds(held: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ def sets_of(docs: DataFrame, prints: DataFrame, wanted: DataFrame, width: int, i
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "fp", "own"])
 
-    return texts.mapInArrow(run, "node long, fp long, own array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(tidy(run), "node long, fp long, own array<long>").dropDuplicates(["node"])
 
 
 def as_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -204,7 +204,7 @@ def linked_in_wide(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     rows = rows.select("band", "key", "node").join(hubs, ["band", "key"])
     pairs = rows.where("node <> hub").select("hub", "node").distinct()
     counted = pairs.join(sets.select(F.col("node").alias("hub"), F.col("own").alias("hub_own")), "hub").join(sets.select("node", "own"), "node")
-    links = checkpoint(counted.select("hub", "node", "hub_own", "own").mapInArrow(count, "src long, dst long"))
+    links = checkpoint(counted.select("hub", "node", "hub_own", "own").mapInArrow(tidy(count), "src long, dst long"))
     rest = rows.where("node <> hub").join(links, (F.col("node") == F.col("dst")) & (F.col("hub") == F.col("src")), "left_anti")
     rest = checkpoint(rest.select("band", "key", "node", "n"))
     if rest.isEmpty():

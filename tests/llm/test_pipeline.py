@@ -1,6 +1,8 @@
 """The pipeline stage by stage on a small corpus, against brute force."""
 
 import random
+import subprocess
+import sys
 from collections import defaultdict
 
 import pytest
@@ -79,3 +81,47 @@ def test_empty_documents_and_extra_columns(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "fp"] and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, None).count() == 0
     assert langid.UNKNOWN == "und"
+
+
+def test_idle_workers_hold_no_freed_memory(spark):
+    """Workers live on between the stages, beside a JVM that needs the executor's memory."""
+
+    def freed(batches):
+        import ctypes
+        import re
+        import time
+
+        import pyarrow as pa
+
+        def held():
+            with open("/proc/self/smaps_rollup") as f:
+                return int(re.search(r"Private_Dirty:\s+(\d+)", f.read())[1]) // 1024
+
+        for _ in batches:
+            pass
+        owner, before = sys.modules["_korvid_worker"].owner if "_korvid_worker" in sys.modules else "", held()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        time.sleep(1)  # so that each worker gets a task
+        yield pa.record_batch([pa.array([owner]), pa.array([before - held()])], names=["owner", "mb"])
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([50, 400, 20000 if i % 200 == 0 else 300]))), "aa") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    langid.identify(docs, langid.fit(docs, langid.held_out())).write.format("noop").mode("overwrite").save()
+    found = [r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(freed, "owner string, mb long").collect() if r.owner == "langid"]
+    assert found and max(found) < 12, found
+
+
+def test_tokenizer_starts_no_threads():
+    """A worker is one of several on its machine, and each thread would keep caches of its own."""
+    code = """
+import os, public_tokenizers
+from korvid.llm import packing
+words = packing.words(public_tokenizers.path("word_bpe_49k.json"))
+before = len(os.listdir("/proc/self/task"))
+words.encode([" ".join(f"{i}\u00e9{k}" for k in range(50)) for i in range(200)])
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, check=True, text=True).stdout.strip() == "0"
