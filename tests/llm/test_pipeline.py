@@ -3,13 +3,14 @@
 import random
 import subprocess
 import sys
+import time
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from korvid.llm import langid  # noqa: E402
+from korvid.llm import common, langid  # noqa: E402
 
 from test_filters import corpus  # noqa: E402
 from test_pairs_and_packs import brute_components, brute_fingerprint, brute_lines, check_places  # noqa: E402
@@ -125,3 +126,21 @@ words.encode([" ".join(f"{i}\u00e9{k}" for k in range(50)) for i in range(200)])
 print(len(os.listdir("/proc/self/task")) - before)
 """
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, check=True, text=True).stdout.strip() == "0"
+
+
+def test_checkpoints_leave_no_shuffle_files(spark):
+    """They would stay until the driver happens to collect its garbage, and add up over a stage."""
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in found.split("\n") if "/shuffle_" in x and x.endswith(".data")}
+
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    held = common.checkpoint(spark.range(0, 20000, 1, 4).groupBy((F.col("id") % 5000).alias("k")).count())
+    for _ in range(40):
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before and spark.conf.get(setting) == was
+    assert held.count() == 5000 and held.agg(F.sum("count")).first()[0] == 20000
